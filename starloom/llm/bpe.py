@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens and their ids that a worker keeps; when full, the table starts anew.
+#: Pre-tokens and their ids that a worker keeps. A full table makes way for a new one, which takes
+#: over from it what is met again; so at most twice as many are held.
 KEPT = 200_000
 #: Longer pre-tokens aren't kept.
 KEPT_LENGTH = 64
@@ -79,60 +80,71 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.queue = RankBitmap(max(self.ranks.values()) + 1)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was kept before the table filled up
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         # pieces are a linked list over byte positions: piece i ends where piece after[i] starts
-        after = list(range(1, n + 1))
+        after = list(range(1, n + 2))
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # rank of the pair that starts at i, as it is now
         buckets: dict[int, list[int]] = {}
-        queue = self.queue
+        add, discard, first = self.queue.add, self.queue.discard, self.queue.first
 
-        def offer(i: int) -> None:
-            j = after[i]
-            rank = ranks.get(piece[i : after[j]], -1) if j < n else -1
-            pair[i] = rank
-            if rank >= 0:
+        for i in range(n - 1):
+            rank = rank_of(piece[i : i + 2])
+            if rank is not None:
+                pair[i] = rank
                 if rank in buckets:
-                    heapq.heappush(buckets[rank], i)
+                    buckets[rank].append(i)  # positions rise: a heap already
                 else:
                     buckets[rank] = [i]
-                    queue.add(rank)
-
-        for i in range(n - 1):
-            offer(i)
-        while (rank := queue.first()) >= 0:
+                    add(rank)
+        while buckets:
+            rank = first()
             bucket = buckets[rank]
             i = heapq.heappop(bucket)  # leftmost
             if not bucket:
                 del buckets[rank]
-                queue.discard(rank)
+                discard(rank)
             if pair[i] != rank:  # stale
                 continue
             j = after[i]
-            after[i] = after[j]
+            k = after[j]
+            after[i] = k
+            before[k] = i
             pair[j] = -1
-            before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+            for a, b in ((before[i], k), (i, after[k] if k < n else -1)):
+                if a < 0:
+                    continue
+                rank = rank_of(piece[a:b]) if b >= 0 else None
+                if rank is None:
+                    pair[a] = -1
+                    continue
+                pair[a] = rank
+                if rank in buckets:
+                    heapq.heappush(buckets[rank], a)
+                else:
+                    buckets[rank] = [a]
+                    add(rank)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            ids.append(rank_of(piece[i : after[i]]))
             i = after[i]
         return ids
 
     def _ids(self, token: str) -> bytes:
-        ids = np.array(self.merge(token.encode("utf-8", "replace")), np.int32).tobytes()
+        ids = self.older.get(token)
+        if ids is None:
+            ids = np.array(self.merge(token.encode("utf-8", "replace")), np.int32).tobytes()
         if len(token) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT:
-                self.kept.clear()
+                self.kept, self.older = {}, self.kept
             self.kept[token] = ids
         return ids
 
