@@ -34,7 +34,7 @@ def test_ranges_merge_and_cover(spark):
     marked = ch.mark_covered(spark.createDataFrame(points, "u string, p bigint"), F.col("u"), F.col("p"), ranges, 16)
     assert marked.columns == ["u", "p", "covered"] and marked.count() == len(points)
     for u, p, covered in marked.collect():
-        assert covered == any(u == v and None not in (p, lo, hi) and lo <= p < hi for v, lo, hi in given)
+        assert covered == any(u is not None and u == v and None not in (p, lo, hi) and lo <= p < hi for v, lo, hi in given)
 
 
 def test_ranges_by_shuffle_are_the_same(spark, monkeypatch):
