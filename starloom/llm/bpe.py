@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,6 +67,13 @@ class RankBitmap:
         return x
 
 
+def ascii_pattern(pattern: str) -> str | None:
+    """The pattern as it reads on texts of ASCII characters only; None if it names other classes than
+    letters, numbers and white space. The standard library matches it over twice as fast."""
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    return None if r"\p" in plain else plain
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str | None = None):
         import regex
@@ -78,6 +86,8 @@ class Encoder:
             pairs = [line.split() for line in f.read().splitlines() if line]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.split = regex.compile(pattern).findall
+        plain = ascii_pattern(pattern)
+        self.split_ascii = re.compile(plain, re.ASCII).findall if plain else self.split
         self.queue = RankBitmap(max(self.ranks.values()) + 1)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was kept before the table filled up
@@ -150,7 +160,7 @@ class Encoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers."""
-        tokens = self.split(text)
+        tokens = self.split_ascii(text) if text.isascii() else self.split(text)
         parts = list(map(self.kept.get, tokens))
         if None in parts:
             parts = [self._ids(t) if p is None else p for t, p in zip(tokens, parts)]

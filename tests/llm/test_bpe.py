@@ -30,6 +30,19 @@ def test_any_text(encoder, other, text):
     assert encoder.encode(text) == other.encode_ordinary(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=120))
+def test_ascii_texts_are_split_alike(encoder, other, text):
+    assert encoder.split_ascii(text) == encoder.split(text)
+    assert encoder.encode(text) == other.encode_ordinary(text)
+    assert encoder.encode(text + "é") == other.encode_ordinary(text + "é")
+
+
+def test_ascii_pattern():
+    assert bpe.ascii_pattern(r" ?\p{L}+|[^\s\p{L}\p{N}]") == r" ?[A-Za-z]+|[^\sA-Za-z0-9]"
+    assert bpe.ascii_pattern(r"\p{Lu}") is None
+
+
 @pytest.mark.parametrize("text", ["a" * 30_000, "ab" * 10_000, "=" * 5000, " " * 3000 + "x", "é" * 4000, "<|endoftext|>", "x<|endoftext|>\n", "ไม่มี 👩🏽‍🔧 ​"])
 def test_long_and_odd_texts(encoder, other, text):
     assert encoder.encode(text) == other.encode_ordinary(text)
