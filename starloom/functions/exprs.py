@@ -43,16 +43,26 @@ def in_window(ts: Column, end, start=None) -> Column:
     return condition if start is None else (ts >= time_literal(start)) & condition
 
 
-def default_literal(text: str, type_text: str) -> Column:
-    """The described default, SQL text such as ``'x'::uuid`` or ``-1``, cast to the column's type."""
-    target = spark_type(type_text)
+def default_text(text: str, type_text: str) -> str:
+    """The value in a described default, SQL text such as ``'x'::uuid`` or ``-1``."""
     body = re.sub(r"::[\w ]+$", "", text.strip())
     quoted = re.fullmatch(r"'((?:[^']|'')*)'", body)
     value = quoted[1].replace("''", "'") if quoted else body
-    if isinstance(target, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+    if isinstance(spark_type(type_text), (T.TimestampNTZType, T.TimestampType, T.DateType)):
         if not re.match(r"\d{4}-\d\d-\d\d", value) or value.startswith("0000"):
-            value = UNKNOWN_TIME
-    return F.lit(value).cast(target)
+            return UNKNOWN_TIME
+    return value
+
+
+def default_literal(text: str, type_text: str) -> Column:
+    """The described default, cast to the column's type."""
+    return F.lit(default_text(text, type_text)).cast(spark_type(type_text))
+
+
+def default_sql(text: str, type_text: str) -> str:
+    """The same as Spark SQL text."""
+    value = default_text(text, type_text).replace("\\", "\\\\").replace("'", "\\'")
+    return f"cast('{value}' as {spark_type(type_text).simpleString()})"
 
 
 def with_default(column: Column, type_text: str, nullable: bool, default: str | None) -> Column:

@@ -3,7 +3,8 @@
     python -m starloom.plans.cli INPUT OUTPUT [settings]
     python -m starloom.plans.cli INPUT OUTPUT --refresh full --sources DIR --end '2024-03-01 00:00:00'
 
-Without --refresh, OUTPUT gets create/<table>.sql, dependencies.json, dimensions.json and facts.json.
+Without --refresh, OUTPUT gets <table>.sql in create, fullrefresh and increfresh, and dependencies.json,
+dimensions.json and facts.json. A dimension fed by several facts gets a file for each in the refresh folders.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from datetime import datetime
 from pathlib import Path
 
 import starloom
-from starloom.plans import ddl, derive
+from starloom.plans import ddl, derive, sqltext
 from starloom.plans import model as m
 from starloom.plans.validate import InvalidDescription, make_env
 from starloom.sources.spec import SpecError, read_spec
@@ -63,16 +64,25 @@ def settings_of(args: argparse.Namespace) -> m.Settings:
 
 def write_files(env: m.Env, output: Path) -> None:
     s = env.settings
-    (output / "create").mkdir(parents=True, exist_ok=True)
-    new = []
+    folders = {m.Mode.FULL: output / "fullrefresh", m.Mode.INCREMENTAL: output / "increfresh"}
+    for folder in (output / "create", *folders.values()):
+        folder.mkdir(parents=True, exist_ok=True)
+    new: list[str] = []
     for fact in env.facts:
         for table in derive.dimension_tables(env, fact):
-            if not derive.is_existing(env, table):
-                new.append(table.name)
-                (output / "create" / f"{table.name}.sql").write_text("\n".join(ddl.dimension_ddl(env, table)))
+            if derive.is_existing(env, table):
+                continue
+            name = table.name if table.name not in new else f"{table.name}.{fact.name}"
+            new.append(table.name)
+            (output / "create" / f"{table.name}.sql").write_text("\n".join(ddl.dimension_ddl(env, table)))
+            for mode, folder in folders.items():
+                dim = table.name.removeprefix(s.dim_prefix)
+                (folder / f"{name}.sql").write_text(sqltext.dimension_sql(env, fact, dim, mode))
         if fact.persistent:
             name = derive.fact_table_name(s, fact)
             (output / "create" / f"{name}.sql").write_text("\n".join(ddl.fact_ddl(env, fact)))
+            for mode, folder in folders.items():
+                (folder / f"{name}.sql").write_text(sqltext.fact_sql(env, fact, mode))
     facts = [derive.fact_table_name(s, f) for f in env.facts if f.persistent]
     (output / s.dependencies_file).write_text(json.dumps(derive.all_dependencies(env), indent=1))
     (output / s.dimensions_file).write_text(json.dumps(list(dict.fromkeys(new))))

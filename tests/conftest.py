@@ -5,7 +5,7 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     # a zone with daylight saving: nothing may depend on the session's zone
     s = (
         SparkSession.builder.master("local[4]")
@@ -13,6 +13,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "America/New_York")
         .config("spark.driver.memory", "3g")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

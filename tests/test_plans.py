@@ -170,6 +170,10 @@ def test_command_line(tmp_path, capsys):
     assert cli.main([str(spec), str(tmp_path / "out"), "-t", "hour", "--dim-prefix", "d_"]) == 0
     out = tmp_path / "out"
     assert sorted(p.name for p in (out / "create").iterdir()) == ["d_place.sql", "fact_visit_by_hour.sql"]
+    for folder in ("fullrefresh", "increfresh"):
+        assert sorted(p.name for p in (out / folder).iterdir()) == ["d_place.sql", "fact_visit_by_hour.sql"]
+    assert "d_place{{suff}}" in (out / "fullrefresh" / "d_place.sql").read_text()
+    assert "{{suff}}" not in (out / "increfresh" / "fact_visit_by_hour.sql").read_text()
     assert json.loads((out / "facts.json").read_text()) == ["fact_visit_by_hour"]
     assert json.loads((out / "dimensions.json").read_text()) == ["d_place"]
     assert set(json.loads((out / "dependencies.json").read_text())) == {"d_place", "fact_visit_by_hour", "fact_hidden_by_hour"}

@@ -9,7 +9,7 @@ from starloom.functions import sketch as sk
 from starloom.functions.exprs import default_literal, in_window, row_hash, time_bucket
 from starloom.operators.dimension import assign_ids, assign_ids_ranged, dimension_full, dimension_increment
 from starloom.operators.fact import load_fact, merge_facts
-from starloom.plans import build, ddl
+from starloom.plans import build, ddl, derive, sqltext
 from starloom.plans import model as m
 from starloom.sources.shared import staged
 from starloom.sources.store import TableStore
@@ -177,6 +177,44 @@ def test_refreshes(spark, tables, tmp_path):
     assert merged.read("fact_visit_by_minute").agg(F.sum("n")).first()[0] == 5 and merged.read("fact_visit_by_minute").count() == 4
 
 
+def test_sql_text_loads_the_same(spark, tables):
+    e, cut = env(suffix_template=""), t(31)
+    spark.sql("create database if not exists sqltext")
+    spark.sql("use sqltext")
+    try:
+        for n in ("visits", "clicks", "ads"):
+            tables[n].write.mode("overwrite").saveAsTable(n)
+        feeds = [(VISITS, "city"), (VISITS, "agent"), (CLICKS, "kind")]
+        derived = {f"dim_{d}": next(x for x in derive.dimension_tables(e, f) if x.name == f"dim_{d}") for f, d in feeds}
+        derived |= {x.name: x for x in (derive.fact_table(e, VISITS), derive.fact_table(e, CLICKS))}
+
+        def run(mode, *args):
+            for f, d in feeds:
+                spark.sql(sqltext.dimension_sql(e, f, d, mode).rstrip(";\n"), args=list(args))
+            for f in (VISITS, CLICKS):
+                spark.sql(sqltext.fact_sql(e, f, mode).rstrip(";\n"), args=list(args))
+
+        def fresh():
+            for n, x in derived.items():
+                spark.sql(f"drop table if exists {n}")
+                spark.createDataFrame([], m.spark_schema(x)).write.saveAsTable(n)
+
+        fresh()
+        run(m.Mode.FULL, str(END))
+        for n in ("dim_city", "dim_agent", "dim_kind"):
+            assert rows(spark.table(n)) == rows(tables[n])
+        for f in (VISITS, CLICKS):
+            assert rows(spark.table(derive.fact_table_name(e.settings, f))) == rows(load_fact(e, f, tables.__getitem__, END))
+        fresh()
+        run(m.Mode.INCREMENTAL, str(cut), "1900-01-01 00:00:00")
+        run(m.Mode.INCREMENTAL, str(END), str(cut))
+        assert sorted(r["id"] for r in spark.table("dim_city").collect()) == [1, 2, 3]
+        assert spark.table("fact_visit_by_minute").agg(F.sum("n")).first()[0] == 5
+    finally:
+        spark.sql("use default")
+        spark.sql("drop database sqltext cascade")
+
+
 def test_stream(spark, tables, tmp_path):
     e = make_env([VISIT, CLICK, AD], [VISITS], None, DEFAULTS)
     store = TableStore(spark, str(tmp_path / "t"))
