@@ -26,8 +26,7 @@ from starloom.functions.exprs import text_hash60
 
 #: Slices: the last takes all that is left of the geometric series.
 LEVELS = 32
-WORD_BITS = 32
-#: Bits of a slice; a multiple of WORD_BITS and a power of two.
+#: Bits of a slice, a power of two. They are kept in words of 32.
 BITS = 2048
 #: A slice with more than this share of its bits set is saturated.
 FULL = 0.75
