@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -212,10 +213,17 @@ class VersionedTable:
         stream = fs.create(part, False)
         stream.write(bytearray(json.dumps(asdict(manifest)).encode()))
         stream.close()
-        # written whole under another name first: a reader never sees half a manifest
+        # written whole under another name first: a reader never sees half a manifest. This rename
+        # refuses to replace a file, so of two writers one fails
+        sc = self.spark.sparkContext
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+        refuse = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            if fs.exists(target) or not fs.rename(part, target):
-                raise CommitConflict(f"version {manifest.version} of {self.root} exists already")
+            context.rename(part, target, refuse)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            raise CommitConflict(f"version {manifest.version} of {self.root} exists already") from None
         finally:
             if fs.exists(part):
                 fs.delete(part, False)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,7 +62,3 @@ def idle_days(rolled: DataFrame, key: str, periods: tuple[int, ...] = (7, 30)) -
     hit = [F.when((F.col("day_total") == 0) & (F.col(f"total_{p}") > 0), F.lit(p)) for p in periods]
     rows = rolled.select(key, "day_id", F.explode(F.array(*hit)).alias("period_days"))
     return rows.filter("period_days is not null")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -18,15 +18,15 @@ from starloom.plans import model as m
 def _wrapped(head: str, items: list[str]) -> str:
     """Items on one line, or one a line below each other when the line would get long."""
     line = f"{head}({', '.join(items)})"
-    if len(line) <= 80 and len(items) <= 3 and "\n" not in line and len(line) < 72:
+    if len(line) < 72:
         return line
     return f"{head}({(',' + chr(10) + ' ' * (len(head) + 1)).join(items)})"
 
 
 def create_table(env: m.Env, table: m.Table) -> str:
     name = derive.suffixed(env, m.Mode.FULL, table.name)
-    width = [f"  {c.name} {c.type} {'null' if c.nullable else 'not null'}" for c in table.columns]
-    return f"create table {name} (\n" + ",\n".join(width) + "\n)\n;\n"
+    body = [f"  {c.name} {c.type} {'null' if c.nullable else 'not null'}" for c in table.columns]
+    return f"create table {name} (\n" + ",\n".join(body) + "\n)\n;\n"
 
 
 def add_constraints(env: m.Env, table: m.Table) -> list[str]:

@@ -5,6 +5,7 @@ Every query takes (spark, folder of parquet tables) and reads its tables whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import sketch as sk
-from starloom.functions.exprs import time_bucket
+from starloom.functions.exprs import time_bucket, time_literal
 from starloom.operators.balance import balanced_join, heavy_keys, key_loads
-from starloom.operators.changes import unprocessed_sessions
+from starloom.operators.changes import VersionedTable, unprocessed_sessions
 from starloom.operators.dimension import dimension_full, dimension_increment
 from starloom.operators.fact import load_fact, merge_facts
 from starloom.operators.orphans import dimension_orphans, orphan_counts, orphan_references
@@ -22,6 +23,7 @@ from starloom.operators.rolling import idle_days, rolling_totals
 from starloom.plans import build, ddl, derive
 from starloom.plans import model as m
 from starloom.plans.validate import make_env
+from starloom.sources.shared import shared_folder
 from starloom.sources.spec import parse_spec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,6 +649,26 @@ def _(spark, folder):
     return _pending(spark, folder).groupBy("publisher_id", day).agg(F.count(F.lit(1)).alias("n_sessions"))
 
 
+_V1, _V2 = "2024-01-20 00:00:00", "2024-01-25 00:00:00"
+
+
+@query(
+    "p1_version_delta",
+    f"""with e as (select publisher_id, arrived_at >= timestamp '{_V1}' as later, publisher_id % 10 = 3 and arrived_at < timestamp '{_V2}' as gone
+ from session_events) select case when later then 'insert' else 'delete' end as change, publisher_id, count(*) as n_rows from e
+ where later <> gone group by 1, 2""",
+)
+def _(spark, folder):
+    """Deliveries as a versioned table: one load, a second one, a deletion; what changed since the first."""
+    events = table(spark, folder, "session_events").select("id", "publisher_id", "arrived_at")
+    versions = VersionedTable(spark, f"{shared_folder(spark)}/starloom/versions-{uuid.uuid4().hex}")
+    first = versions.append(events.filter(~(F.col("arrived_at") >= time_literal(_V1))))
+    versions.append(events.filter(F.col("arrived_at") >= time_literal(_V1)))
+    last = versions.delete_where((F.col("publisher_id") % 10 == 3) & (F.col("arrived_at") < time_literal(_V2)))
+    delta = versions.delta(first, last)
+    return delta.groupBy(F.col("_change").alias("change"), "publisher_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # --- 4: rolling totals --------------------------------------------------------------
 
 

@@ -83,6 +83,27 @@ def test_dimension_tables():
     assert agent.columns[1] == m.Column("browser", "character varying(20)", False)
 
 
+def test_sessions_and_page_views():
+    from starloom.queries import _PAGE_VIEW, _SESSION, environment
+
+    e = environment(_SESSION, _PAGE_VIEW)
+    session, view = (derive.fact_table(e, f) for f in e.facts)
+    assert [c.name for c in session.columns] == ["created_at_minute_id", "publisher_id", "session_count", "geo_id", "user_agent_id"]
+    assert session.constraints == (m.UniqueKey(("created_at_minute_id", "publisher_id", "geo_id", "user_agent_id")),)
+    assert [c.name for c in view.columns] == [
+        "created_at_minute_id", "publisher_id", "view_count", "referrer_id", "page_type_id", "geo_id", "user_agent_id",
+    ]
+    geo, agent = derive.dimension_tables(e, e.fact("session"))
+    assert [c.name for c in geo.columns] == ["id", "country_name", "city_name", "continent_name"]
+    assert [c.name for c in agent.columns] == ["id", "browser_name", "os", "name"]
+    assert ddl.dimension_indexes(geo) == [("country_name",), ("city_name",), ("continent_name",)]
+    page_type = derive.dimension_tables(e, e.fact("page_view"))[1]
+    assert ddl.dimension_indexes(page_type) == []
+    assert [i for (i,) in ddl.fact_indexes(e, e.fact("page_view"))] == [
+        "created_at_minute_id", "publisher_id", "referrer_id", "page_type_id", "geo_id", "user_agent_id",
+    ]
+
+
 def test_lineage_and_order():
     e = env()
     assert derive.dependencies(e, CLICKS)["fact_click_by_minute"] == ["clicks", "visits", "ads", "dim_kind", "dim_city", "dim_agent"]
