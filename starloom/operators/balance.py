@@ -31,8 +31,8 @@ def key_loads(df: DataFrame, key: str) -> DataFrame:
 
 def heavy_keys(loads: DataFrame, share: float) -> DataFrame:
     """Keys with at least ``share`` of all rows; no more than 1 / share of them exist."""
-    total = loads.agg(F.sum("n_rows").alias("__total"))
-    return loads.join(F.broadcast(total), F.col("n_rows") >= F.col("__total") * F.lit(share)).drop("__total")  # one row
+    total = loads.agg(F.sum("n_rows"))
+    return loads.filter(F.col("n_rows") >= total.scalar() * F.lit(share))
 
 
 @dataclass(frozen=True)
@@ -75,12 +75,13 @@ def plan_placement(loads: DataFrame, key: str, tasks: int) -> Placement:
     tasks x BINS_PER_TASK bins and at most tasks / HEAVY_SHARE heavy keys. A heavy null key shares
     its bin: nulls match nothing in a join, and per-key results combine partial ones."""
     bins = tasks * BINS_PER_TASK
-    total = loads.agg(F.sum("n_rows")).first()[0] or 0
-    limit = max(1, math.ceil(HEAVY_SHARE * total / tasks))
-    heavy = {r[key]: r["n_rows"] for r in loads.filter((F.col("n_rows") >= limit) & F.col(key).isNotNull()).collect()}
-    light = loads.filter((F.col("n_rows") < limit) | F.col(key).isNull())
-    sums = light.groupBy(F.pmod(F.xxhash64(F.col(key)), F.lit(bins)).cast("int").alias("b")).agg(F.sum("n_rows").alias("n"))
-    by_bin = {r["b"]: r["n"] for r in sums.collect()}
+    binned = loads.withColumn("__bin", F.pmod(F.xxhash64(F.col(key)), F.lit(bins)).cast("int"))
+    by_bin = {r["__bin"]: r["n"] for r in binned.groupBy("__bin").agg(F.sum("n_rows").alias("n")).collect()}
+    limit = max(1, math.ceil(HEAVY_SHARE * sum(by_bin.values()) / tasks))
+    heavy = {}
+    for r in binned.filter((F.col("n_rows") >= limit) & F.col(key).isNotNull()).collect():
+        heavy[r[key]] = r["n_rows"]
+        by_bin[r["__bin"]] -= r["n_rows"]
 
     items = [(n, ("bin", b)) for b, n in by_bin.items()]
     for k, n in heavy.items():
@@ -117,14 +118,16 @@ def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], tasks: int,
     """Join on equal ``keys``, the first of which is the uneven one in ``big``; inner or left.
 
     Both sides lie on their tasks by ``__task`` before the join, which therefore adds no exchange.
-    Columns of ``small`` other than the keys must have names of their own. Null keys match nothing.
+    A column of ``small`` whose name ``big`` has too comes out as ``right_<name>``. Null keys match nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
     uneven = keys[0]
     placement = plan_placement(key_loads(big, uneven), uneven, tasks)
     left = balanced(big, uneven, tasks, placement, spread)
-    named = small.select(*[F.col(f"`{c}`").alias(f"__r_{c}" if c in keys else c) for c in small.columns])
+    taken = {c.lower() for c in big.columns}
+    new = {c: f"__r_{c}" if c in keys else f"right_{c}" if c.lower() in taken else c for c in small.columns}
+    named = small.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()])
     named = named.filter(" and ".join(f"`__r_{k}` is not null" for k in keys))
     right = named.withColumn("__r_task", F.explode(placement.tasks_of_key(F.col(f"__r_{uneven}")).cast("array<int>")))
     right = right.repartitionById(tasks, "__r_task")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,22 +33,21 @@ def dimension_values(env: m.Env, fact: m.Fact, dim: str, source: DataFrame, end,
     return rows.select(*named).distinct()
 
 
-def assign_ids(values: DataFrame, id_column: str, after=None) -> DataFrame:
-    """Ids in the order of all columns, counted from 1 or from behind ``after`` (a one-row DataFrame
-    with the column ``__last``). The order, and so the id, doesn't depend on partitioning.
+def assign_ids(values: DataFrame, id_column: str, after: Column | None = None) -> DataFrame:
+    """Ids in the order of all columns, counted from 1 or from behind ``after`` (a scalar subquery or a
+    literal). The order, and so the id, doesn't depend on partitioning.
 
     The numbering runs in one task: it is meant for dimensions, whose rows are few beside the
     facts. ``assign_ids_ranged`` numbers large ones in parallel.
     """
     columns = values.columns
     number = F.row_number().over(W.orderBy(*columns))
-    if after is None:
-        return values.select(number.alias(id_column), *columns)
-    joined = values.crossJoin(F.broadcast(after))  # one row
-    return joined.select((number + F.col("__last")).cast("int").alias(id_column), *columns)
+    return values.select((number if after is None else number + after).cast("int").alias(id_column), *columns)
 
 
-def assign_ids_ranged(values: DataFrame, id_column: str, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def assign_ids_ranged(
+    values: DataFrame, id_column: str, staged: Callable[[DataFrame], DataFrame], after: Column | None = None
+) -> DataFrame:
     """The same ids as ``assign_ids`` for dimensions too large for one task.
 
     Rows are range-partitioned and staged with their partition number, so that ranges stay as
@@ -60,9 +59,9 @@ def assign_ids_ranged(values: DataFrame, id_column: str, staged: Callable[[DataF
     before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__range", before.alias("__before"))  # one row for each partition
     number = F.row_number().over(W.partitionBy("__range").orderBy(*columns))
-    return ranged.withColumn("__number", number).join(F.broadcast(offsets), "__range").select(
-        (F.col("__number") + F.col("__before")).cast("int").alias(id_column), *columns
-    )
+    rows = ranged.withColumn("__number", number).join(F.broadcast(offsets), "__range")
+    id_value = F.col("__number") + F.col("__before")
+    return rows.select((id_value if after is None else id_value + after).cast("int").alias(id_column), *columns)
 
 
 def dimension_full(env: m.Env, fact: m.Fact, dim: str, source: DataFrame, end) -> DataFrame:
@@ -76,5 +75,4 @@ def dimension_increment(env: m.Env, fact: m.Fact, dim: str, source: DataFrame, e
     values = dimension_values(env, fact, dim, source, end, start)
     known = existing.select(*[F.col(c).alias(f"__known_{c}") for c in values.columns])
     new = values.join(known, all_equal([(F.col(c), F.col(f"__known_{c}")) for c in values.columns]), "left_anti")
-    last = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("__last"))
-    return assign_ids(new, id_column, last)
+    return assign_ids(new, id_column, existing.agg(F.coalesce(F.max(id_column), F.lit(0))).scalar())

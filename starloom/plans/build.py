@@ -7,13 +7,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.dimension import assign_ids, dimension_increment, dimension_values
+from starloom.operators.dimension import assign_ids, assign_ids_ranged, dimension_increment, dimension_values
 from starloom.operators.fact import aligned, load_fact, merge_facts
 from starloom.plans import derive
 from starloom.plans import model as m
+from starloom.sources.shared import staged
 from starloom.sources.store import TableStore
 
 
+#: Rows of a dimension that one task numbers; more are numbered range by range.
+ONE_TASK = 2_000_000
+
+
 class UnalignedWindow(ValueError):
     pass
 
@@ -33,7 +38,10 @@ def full_dimension(env: m.Env, store: TableStore, name: str, end) -> DataFrame:
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
-    return assign_ids(values.distinct() if len(parts) > 1 else values, env.settings.dim_id_column)
+    values = staged(values.distinct() if len(parts) > 1 else values, "dimension")
+    if values.limit(ONE_TASK + 1).count() > ONE_TASK:
+        return assign_ids_ranged(values, env.settings.dim_id_column, staged)
+    return assign_ids(values, env.settings.dim_id_column)
 
 
 def full_refresh(env: m.Env, store: TableStore, end) -> list[str]:

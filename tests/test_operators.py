@@ -230,6 +230,12 @@ def test_balanced_join_is_a_join(spark, uneven, how):
     assert rows(got.select("k", "id", "d", "v")) == rows(want.select("k", "id", "d", "v"))
 
 
+def test_clashing_names_in_a_join(spark, uneven):
+    small = spark.createDataFrame([(1, 10, "x")], "k int, id int, ID2 string")
+    got = ba.balanced_join(uneven.withColumn("id2", F.lit(0)), small, ["k"], 4, "inner")
+    assert got.columns == ["k", "id", "id2", "__task", "right_id", "right_ID2"] and got.count() == 6000
+
+
 def test_join_adds_no_exchange(spark, uneven):
     small = spark.range(5000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -215,6 +215,14 @@ def test_sql_text_loads_the_same(spark, tables):
         spark.sql("drop database sqltext cascade")
 
 
+def test_large_dimensions_are_numbered_in_ranges(spark, tables, tmp_path, monkeypatch):
+    e, sources = env(), str(tmp_path / "src")
+    tables["visits"].write.parquet(f"{sources}/visits.parquet")
+    monkeypatch.setattr(build, "ONE_TASK", 1)
+    got = build.full_dimension(e, TableStore(spark, str(tmp_path), sources), "dim_city", END)
+    assert rows(got) == rows(tables["dim_city"]) and got.schema["id"].dataType == tables["dim_city"].schema["id"].dataType
+
+
 def test_stream(spark, tables, tmp_path):
     e = make_env([VISIT, CLICK, AD], [VISITS], None, DEFAULTS)
     store = TableStore(spark, str(tmp_path / "t"))
