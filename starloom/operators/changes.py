@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from starloom.functions.exprs import epoch_seconds, row_hash
 
-#: Most merged ranges that are broadcast (24 bytes each, so under 10 MB); more go through a shuffle.
-BROADCAST_RANGES = 400_000
+#: Most merged ranges that are broadcast (some 100 bytes each in a hash table, so about 10 MB); more
+#: go through a shuffle.
+BROADCAST_RANGES = 100_000
 
 
 # --- ranges: deletion vectors over any position column --------------------------------
