@@ -25,10 +25,12 @@ class _Sources:
             self.number.setdefault(owner.table, len(self.number))
         time = F.col(fact.time_column())
         df = self._read(fact.table, tables(fact.table).filter(in_window(time, end, start)))
+        spread = env.table(fact.table).primary_key() or fact.time_column()
         for name in list(self.number)[1:]:
             key = next(k for k in env.table(fact.table).foreign_keys() if k.table == name)
             pairs = [(self.ref(fact.table, a), self.ref(name, b)) for a, b in key.columns]
-            df = df.join(self._read(name, tables(name)), all_equal(pairs), "left")
+            on = all_equal([*pairs, _spread_nulls(self.ref(fact.table, spread), *zip(*pairs))])
+            df = df.join(self._read(name, tables(name)), on, "left")
         self.df = df
 
     def _read(self, name: str, df: DataFrame) -> DataFrame:
@@ -43,6 +45,18 @@ class _Sources:
         return defaulted(self.env, self.env.table(table), column, self.ref(table, column))
 
 
+#: Partitions over which rows without a parent are spread in a parent join.
+NULL_SHARDS = 1024
+
+
+def _spread_nulls(by: Column, left: tuple[Column, ...], right: tuple[Column, ...]) -> tuple[Column, Column]:
+    """A further pair of join columns, equal wherever keys are. Rows whose key has a null match nothing
+    anyway; this keeps them from gathering in the one task that the null hashes to."""
+    some_null = reduce(lambda a, b: a | b, [c.isNull() for c in left])
+    shard = F.when(some_null, F.pmod(F.xxhash64(by), F.lit(NULL_SHARDS)) + 1).otherwise(F.lit(0))
+    return shard, F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in right]), F.lit(0).cast("bigint"))
+
+
 def _unique_ids(dim: DataFrame, columns: list[str], id_column: str) -> DataFrame:
     """One row for each value; a value with several ids makes the query fail, not fan out."""
     one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a dimension value has more than one id"))).otherwise(F.min(id_column))
@@ -90,6 +104,7 @@ def load_fact(env: m.Env, fact: m.Fact, tables: Tables, end, start=None) -> Data
     first: dict[str, Column] = {}  # aggregates over rows
     again: dict[str, Column] = {}  # aggregates over the results of the first
     sketches: dict[str, str] = {}
+    n_sketches = len(fact.of_kind(m.FactCountDistinct))
 
     def measure(name: str, one: Column, two) -> None:
         first[name] = one.alias(name)
@@ -111,7 +126,8 @@ def load_fact(env: m.Env, fact: m.Fact, tables: Tables, end, start=None) -> Data
                 inputs[f"__in{i}"] = ref
             match c:
                 case m.FactCount():
-                    measure(c.column, F.count(F.lit(1) if ref is None else x), F.sum)
+                    every = F.col("__row") if n_sketches > 1 else F.lit(1)
+                    measure(c.column, F.count(every if ref is None else x), F.sum)
                 case m.FactSum():
                     measure(c.column, F.sum(x), F.sum)
                 case m.FactMax():
@@ -127,18 +143,24 @@ def load_fact(env: m.Env, fact: m.Fact, tables: Tables, end, start=None) -> Data
     if not sketches:
         out = keyed.groupBy(*keys).agg(*first.values()) if first else keyed.select(*keys).distinct()
     else:
-        # the first sketch shares its pass with all other measures: rows are grouped by register
-        # first, and the groups' partial results are put together per key after that
-        (name, value), *others = sketches.items()
+        # sketches share the pass of the other measures: rows are grouped by register first (each
+        # sketch's registers under its own number), and the groups' partial results per key after that
         buckets = sk.bucket_count(s.distinct_error_rate)
-        hashed = keyed.withColumn("__b", sk.bucket_of(F.col(value), buckets)).withColumn("__low", sk.low_bits(F.col(value)))
-        by_register = hashed.groupBy(*keys, "__b").agg(*first.values(), sk.rank_of(F.min("__low")).alias("__rho"))
-        out = by_register.groupBy(*keys).agg(*again.values(), sk.registers_json(F.col("__b"), F.col("__rho")).alias(name))
-        for name, value in others:
-            rows = sk.sketch_rows(keyed, list(keys), value, s.distinct_error_rate)
-            side = rows.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(sk.registers_json(F.col("bnum"), F.col("rho")).alias(name))
-            on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-            out = out.join(side, on, "left").withColumn(name, F.coalesce(F.col(name), F.lit("{}")))
+        registers = [
+            F.struct(F.lit(i).alias("sketch"), sk.bucket_of(F.col(v), buckets).alias("bucket"), sk.low_bits(F.col(v)).alias("low"))
+            for i, v in enumerate(sketches.values())
+        ]
+        if len(registers) == 1:
+            rows = keyed.withColumn("__r", registers[0])
+        else:  # one row for each sketch; measures are taken from the first only
+            rows = keyed.withColumn("__r", F.explode(F.array(*registers)))
+            others = F.col("__r.sketch") > 0
+            measured = [k for k in inputs if k not in sketches.values()]
+            rows = rows.withColumns({k: F.when(~others, F.col(k)) for k in measured} | {"__row": F.when(~others, F.lit(1))})
+        by_register = rows.groupBy(*keys, "__r.sketch", "__r.bucket").agg(*first.values(), sk.rank_of(F.min("__r.low")).alias("__rho"))
+        own = [F.when(F.col("sketch") == i, F.col("bucket")) for i in range(len(sketches))]
+        jsons = [sk.registers_json(b, F.col("__rho")).alias(n) for b, n in zip(own, sketches)]
+        out = by_register.groupBy(*keys).agg(*again.values(), *jsons)
     return out.select(*[F.col(c.name).cast(types[c.name]).alias(c.name) for c in target.columns])
 
 

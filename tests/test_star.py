@@ -105,6 +105,29 @@ def test_parents_give_dimensions_only(tables):
     assert sum(r["n"] for r in load_fact(env(), CLICKS, tables.__getitem__, END).collect()) == 4
 
 
+def test_several_sketches_share_one_pass(spark, tables):
+    columns = (m.DimTime("seen_at"), m.FactCountDistinct("a", "city_name"), m.FactCount("n"), m.FactCountDistinct("b", "spent"), m.FactMax("top", "spent"), m.FactCountDistinct("c", "id"))
+    fact = m.Fact("many", "visits", columns)
+    e = make_env([VISIT], [fact], None, DEFAULTS)
+    df = load_fact(e, fact, tables.__getitem__, END)
+    one = {c.column: load_fact(e2, f2, tables.__getitem__, END) for c in columns if isinstance(c, m.FactCountDistinct)
+           for f2 in [m.Fact("one", "visits", (columns[0], c))] for e2 in [make_env([VISIT], [f2], None, DEFAULTS)]}
+    for name, alone in one.items():
+        assert rows(df.select("seen_at_minute_id", name)) == rows(alone)
+    assert sorted((r["n"], r["top"] or 0) for r in df.collect()) == [(1, 1), (2, 5), (2, 7)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + df._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 1
+
+
+def test_rows_without_parent_are_spread(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load_fact(env(), CLICKS, tables.__getitem__, END)._jdf.queryExecution().executedPlan().toString()
+        got = rows(load_fact(env(), CLICKS, tables.__getitem__, END))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "pmod(xxhash64(s0__id" in plan and got == rows(load_fact(env(), CLICKS, tables.__getitem__, END))
+
+
 def test_two_ids_for_a_value_fail(tables):
     twice = tables | {"dim_agent": tables["dim_agent"].unionByName(tables["dim_agent"].withColumn("id", F.col("id") + 9))}
     with pytest.raises(Exception, match="more than one id"):
