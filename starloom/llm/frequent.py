@@ -11,7 +11,7 @@ there are at most tasks x slots of them; counters add up by position. A value's
 slots' count, up to that plus the counter it hashes to, so ``low <= count <= high`` always holds
 (a counter takes in every occurrence that no slot counted). ``found_items`` turns this into an
 exact answer: candidates are the values whose ``high`` reaches the threshold, and any counter
-that reaches it alone could hide a value that never kept a slot, so the values of such counters
+that reaches it by itself could hide a value that never kept a slot, so the values of such counters
 are counted exactly too.
 """
 
@@ -149,9 +149,11 @@ def found_items(df: DataFrame, fields: list[str], share: float, parts: DataFrame
     parts = staged(sketch_parts(df, fields), "frequent") if parts is None else parts
     totals = parts.groupBy("field").agg((F.sum("n") * F.lit(share)).alias("__least"))  # one row a field
     reach = F.broadcast(totals.withColumnRenamed("field", "__tf"))
-    items = frequent_items(parts).join(reach, (F.col("field") == F.col("__tf")) & (F.col("high") >= F.col("__least")))
+    reaches = (F.col("high") >= F.col("__least")) & (F.col("high") - F.col("low") < F.col("__least"))
+    items = frequent_items(parts).join(reach, (F.col("field") == F.col("__tf")) & reaches)
     counters = parts.filter("part = 'light'").join(reach, (F.col("field") == F.col("__tf")) & (F.col("n") >= F.col("__least")))
-    # both sets are bounded by 1 / share times tasks and by 1 / share; their values are counted exactly
+    # at most 1 / share counters, and few times as many items, since an item whose counter reaches the
+    # threshold is left to the counter; the values of both are counted exactly
     candidates = items.select("field", "item").collect()
     full = counters.select("field", "at").collect()
     least = {r["field"]: r["__least"] for r in totals.collect()}

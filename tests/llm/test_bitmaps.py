@@ -54,3 +54,9 @@ def test_cube_with_nulls_and_repeats(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g int, v int")
     assert bm.distinct_cube(df, ["g"], ["v"]).count() == 0
+
+
+def test_extra_columns(spark):
+    df = spark.range(50).selectExpr("id % 2 as g", "id as v", "1 as field", "2 as level", "3 as mask", "'x' as grouping", "4 as V2")
+    got = {r["g"]: r["n_distinct"] for r in bm.distinct_cube(df, ["g"], ["v"]).filter("grouping = 'g'").collect()}
+    assert set(got) == {0, 1} and all(abs(n - 25) <= 1 for n in got.values())
