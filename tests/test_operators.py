@@ -79,6 +79,15 @@ def test_sessions_without_log_or_events(spark):
     assert len(pending(spark, [("a", at(1), 1, "x", at(2))], [])) == 1
 
 
+def test_extra_columns_are_content(spark):
+    log = [(1, 1, at(0), at(5), at(6), "committed")]
+    events = spark.createDataFrame([("a", at(1), 1, "x", at(2)), ("a", at(1), 1, "x", at(8))], EVENTS)
+    odd = events.withColumns({"session_id": F.lit(1), "was_read": F.lit(2), "__unit": F.lit(3), "h1": F.col("arrived_at").cast("string")})
+    logs = spark.createDataFrame(log, LOG).withColumns({"unit": F.lit(1), "lo": F.lit(9), "last": F.lit("z")})
+    assert ch.unprocessed_sessions(events, logs).count() == 0
+    assert ch.unprocessed_sessions(odd.drop("h1"), logs).count() == 0 and ch.unprocessed_sessions(odd, logs).count() == 1
+
+
 def test_micros(spark):
     x = datetime(2024, 3, 10, 2, 30, 59, 123456)
     for v in (x, datetime(1969, 12, 31, 23, 59, 59, 999999)):
@@ -163,6 +172,11 @@ def test_rolling_totals(spark, periods):
     assert found == {(k, d, p) for (k, d), (own, *totals) in want.items() for p, x in zip(periods, totals) if own == 0 and x > 0}
 
 
+def test_rolling_extra_columns(spark):
+    df = spark.createDataFrame([(1, 5, 2)], "d int, own int, day_id int").withColumns({"__k": F.lit(0), "next": F.lit(1)})
+    assert rows(rolling_totals(df, "d", F.col("own"), F.col("day_id"), (2,)).drop("average_2")) == [(1, 5, 2, 2), (1, 6, 0, 2)]
+
+
 def test_rolling_empty(spark):
     assert rolling_totals(spark.createDataFrame([], "k int, d int, n int"), "k", F.col("d"), F.col("n")).count() == 0
 

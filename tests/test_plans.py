@@ -217,3 +217,10 @@ def test_bad_descriptions(change):
 
 def test_faults_print():
     assert str(Fault("MissingTable", ("x",))) == "MissingTable(x)"
+
+
+def test_session_settings():
+    from starloom.session import settings
+
+    big, small = settings(100_000, 1000, 4), settings(0.1, 2, 4)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000 and int(small["spark.sql.shuffle.partitions"]) == 24
