@@ -7,7 +7,8 @@ hold. So the relative error stays about the same from a few identifiers to the l
 
 With b bits a slice, the counted slices hold at least 2 b / 3 hashed identifiers or all of them,
 which gives a standard error near 0.9 / sqrt(b): 2 % for the 2,048 bits used here, at any count up
-to b * 2 ** (LEVELS - 1). Sets far smaller than b are counted almost exactly.
+to b * 2 ** (LEVELS - 1). Sets far smaller than b are counted almost exactly: two identifiers share a
+bit now and then, which makes a count of a few too small by one.
 
 Everything is built from the engine's own aggregates (bit_or over 63-bit words), so partial
 aggregation merges the bitmaps of a task before anything is shuffled, and a hot group sends no
