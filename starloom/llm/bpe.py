@@ -12,10 +12,11 @@ Pre-tokens repeat heavily, so their ids are kept in a table of bounded size for
 from __future__ import annotations
 
 import base64
-import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,44 +28,43 @@ from pyspark.sql import functions as F
 KEPT = 200_000
 #: Longer pre-tokens aren't kept.
 KEPT_LENGTH = 64
-_BITS = 6  # a word of the bitmap has 64 bits
+
+
+#: Ids that three levels of 64 reach.
+LARGEST = 64**3
 
 
 class RankBitmap:
-    """A set of ranks with find-first: words of 64 bits, a bit for each word above, and so on."""
+    """A set of numbers below LARGEST with find-first: words of 64 bits, and two levels above that
+    have a bit for each word that isn't empty."""
 
-    def __init__(self, size: int):
-        self.levels: list[list[int]] = []
-        while True:
-            size = (size + 63) >> _BITS
-            self.levels.append([0] * max(size, 1))
-            if size <= 1:
-                break
+    def __init__(self):
+        self.low, self.middle, self.top = [0] * 64**2, [0] * 64, [0]
 
     def add(self, x: int) -> None:
-        for words in self.levels:
-            old = words[x >> _BITS]
-            words[x >> _BITS] = old | (1 << (x & 63))
-            if old:
-                return
-            x >>= _BITS
+        i = x >> 6
+        self.low[i] |= 1 << (x & 63)
+        self.middle[i >> 6] |= 1 << (i & 63)
+        self.top[0] |= 1 << (i >> 6)
 
     def discard(self, x: int) -> None:
-        for words in self.levels:
-            words[x >> _BITS] &= ~(1 << (x & 63))
-            if words[x >> _BITS]:
-                return
-            x >>= _BITS
+        i = x >> 6
+        self.low[i] &= ~(1 << (x & 63))
+        if not self.low[i]:
+            self.middle[i >> 6] &= ~(1 << (i & 63))
+            if not self.middle[i >> 6]:
+                self.top[0] &= ~(1 << (i >> 6))
 
     def first(self) -> int:
-        """The smallest rank, or -1."""
-        x = 0
-        for words in reversed(self.levels):
-            w = words[x]
-            if not w:
-                return -1
-            x = (x << _BITS) | ((w & -w).bit_length() - 1)
-        return x
+        """The smallest number, or -1."""
+        w = self.top[0]
+        if not w:
+            return -1
+        x = (w & -w).bit_length() - 1
+        w = self.middle[x]
+        x = (x << 6) | ((w & -w).bit_length() - 1)
+        w = self.low[x]
+        return (x << 6) | ((w & -w).bit_length() - 1)
 
 
 def ascii_pattern(pattern: str) -> str | None:
@@ -88,12 +88,15 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         plain = ascii_pattern(pattern)
         self.split_ascii = re.compile(plain, re.ASCII).findall if plain else self.split
-        self.queue = RankBitmap(max(self.ranks.values()) + 1)
+        if max(self.ranks.values()) >= LARGEST:
+            raise ValueError(f"ids must be below {LARGEST}")
+        self.queue = RankBitmap()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was kept before the table filled up
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. The steps of RankBitmap are written out where they are taken: they
+        run several times a byte."""
         rank_of = self.ranks.get
         whole = rank_of(piece)
         if whole is not None:
@@ -104,7 +107,7 @@ class Encoder:
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # rank of the pair that starts at i, as it is now
         buckets: dict[int, list[int]] = {}
-        add, discard, first = self.queue.add, self.queue.discard, self.queue.first
+        low, middle, top = self.queue.low, self.queue.middle, self.queue.top
 
         for i in range(n - 1):
             rank = rank_of(piece[i : i + 2])
@@ -114,14 +117,30 @@ class Encoder:
                     buckets[rank].append(i)  # positions rise: a heap already
                 else:
                     buckets[rank] = [i]
-                    add(rank)
-        while buckets:
-            rank = first()
+                    w = rank >> 6
+                    low[w] |= 1 << (rank & 63)
+                    middle[w >> 6] |= 1 << (w & 63)
+                    top[0] |= 1 << (w >> 6)
+        while bits := top[0]:
+            w = (bits & -bits).bit_length() - 1
+            bits = middle[w]
+            w = (w << 6) | ((bits & -bits).bit_length() - 1)
+            bits = low[w]
+            bit = bits & -bits
+            rank = (w << 6) | (bit.bit_length() - 1)
             bucket = buckets[rank]
-            i = heapq.heappop(bucket)  # leftmost
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)  # leftmost
+            else:
+                i = bucket[0]
                 del buckets[rank]
-                discard(rank)
+                bits ^= bit
+                low[w] = bits
+                if not bits:
+                    bits = middle[w >> 6] ^ (1 << (w & 63))
+                    middle[w >> 6] = bits
+                    if not bits:
+                        top[0] ^= 1 << (w >> 6)
             if pair[i] != rank:  # stale
                 continue
             j = after[i]
@@ -138,10 +157,13 @@ class Encoder:
                     continue
                 pair[a] = rank
                 if rank in buckets:
-                    heapq.heappush(buckets[rank], a)
+                    heappush(buckets[rank], a)
                 else:
                     buckets[rank] = [a]
-                    add(rank)
+                    w = rank >> 6
+                    low[w] |= 1 << (rank & 63)
+                    middle[w >> 6] |= 1 << (w & 63)
+                    top[0] |= 1 << (w >> 6)
         ids, i = [], 0
         while i < n:
             ids.append(rank_of(piece[i : after[i]]))
@@ -151,7 +173,7 @@ class Encoder:
     def _ids(self, token: str) -> bytes:
         ids = self.older.get(token)
         if ids is None:
-            ids = np.array(self.merge(token.encode("utf-8", "replace")), np.int32).tobytes()
+            ids = array("i", self.merge(token.encode("utf-8", "replace"))).tobytes()
         if len(token) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT:
                 self.kept, self.older = {}, self.kept
