@@ -2,35 +2,36 @@
 
 A document is read as units: the sentences of its message and its changed lines. Terms are the
 words and word pairs of a unit, identifiers split into their words. A term's weight is its inverse
-document frequency times how unevenly it spreads over the subjects. Weighted term vectors of a
-sample are decomposed (truncated SVD); labelled documents give each subject a seed centroid, and
+document frequency times how unevenly it spreads over the subjects. Weighted term vectors of all
+documents are decomposed (truncated SVD); labelled documents give each subject a seed centroid, and
 the centroids are refined over all documents. A unit belongs to the subject whose centroid its
 vector is closest to by cosine; a document is about the subjects of its units, but a subject that
 only one unit speaks of, beside others that are spoken of, was named in passing.
 
-What is bounded: the decomposition, the choice of terms and the seeds come from at most LABELLED
-labelled and UNLABELLED other documents. What covers every document: document frequencies,
-centroid refinement, assignment.
+What is bounded: the labelled documents that serve as seeds, LABELLED at most, as many of each subject.
+What covers every document: which terms there are, their frequencies and unevenness, the
+decomposition, centroid refinement, assignment. The driver and each task hold the chosen terms, a row of
+DIMENSIONS numbers for each.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.sources.shared import staged
 
-#: Documents of the fitting sample, chosen by a hash of their id.
+#: Labelled documents that serve as seeds, chosen by a hash of their id among those of each subject.
 LABELLED = 6000
-UNLABELLED = 2000
-#: Documents of the sample that must hold a term.
+#: Documents that must hold a term.
 TERM_DOCUMENTS = 3
 DIMENSIONS = 32
 #: A term is folded in if the truncated decomposition keeps less than this share of its length or
@@ -38,8 +39,9 @@ DIMENSIONS = 32
 CAPTURED = 0.5
 APART = 0.4
 FOLD_UNEVENNESS = 0.8
-#: Rounds of refinement over the sample (weights and centroids) and over the corpus (centroids).
-SAMPLE_ROUNDS = 2
+#: Rounds over the corpus that spread the labels to choose terms, of the decomposition, and of the centroids.
+TERM_ROUNDS = 2
+SVD_ROUNDS = 4
 CORPUS_ROUNDS = 2
 #: Terms spread more evenly over subjects than this (0 evenly, 1 in a single one) carry no subject.
 UNEVENNESS = 0.45
@@ -100,9 +102,7 @@ class Terms:
 
     KEPT = 100_000
 
-    def __init__(self, known: np.ndarray | None = None):
-        """``known``: only these term numbers are given, as their positions in the array."""
-        self.places = None if known is None else {int(t): i for i, t in enumerate(known)}
+    def __init__(self):
         self.kept: dict[str, list[int]] = {}
         self.numbers: dict[str, int] = {}
 
@@ -111,10 +111,7 @@ class Terms:
         if n is None:
             if len(self.numbers) >= 4 * self.KEPT:
                 self.numbers.clear()
-            n = zlib.crc32(term.encode("utf-8", "replace"))
-            if self.places is not None:
-                n = self.places.get(n, -1)
-            self.numbers[term] = n
+            n = self.numbers[term] = zlib.crc32(term.encode("utf-8", "replace")) - (1 << 31)
         return n
 
     def of(self, unit: str) -> list[int]:
@@ -124,8 +121,6 @@ class Terms:
             number = self._number
             got = [number(w) for w in words]
             got += [number(a + " " + b) for a, b in zip(words, words[1:])]
-            if self.places is not None:
-                got = [n for n in got if n >= 0]
             if len(self.kept) >= self.KEPT:
                 self.kept.clear()
             self.kept[unit] = got
@@ -138,7 +133,7 @@ class Terms:
 @dataclass
 class Model:
     """``terms``: known term numbers; ``vectors``: their weighted SVD rows; ``centroids``: unit
-    vectors, a row for each of ``subjects``."""
+    vectors, a row for each of ``subjects``, then one of what is about none of them."""
 
     subjects: list[str]
     terms: np.ndarray
@@ -146,17 +141,35 @@ class Model:
     centroids: np.ndarray
 
 
-def _unevenness(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, n_terms: int, n_classes: int):
-    """How unevenly terms spread over classes, and the class each leans to. ``labels``: a share of
-    each class for each document. Classes count alike, however many documents they have."""
-    counts = np.stack([np.bincount(cols, weights=labels[rows, c], minlength=n_terms) for c in range(n_classes)], 1)
-    sizes = np.maximum(labels.sum(0), 1.0)
-    rate = counts / sizes
+@dataclass
+class Seeds:
+    """``ids``: labelled documents, sorted; ``shares``: a share of each subject for each of them, the
+    last column meaning none of the subjects."""
+
+    ids: np.ndarray
+    shares: np.ndarray
+
+    def of(self, ids: pa.Array) -> np.ndarray:
+        """Shares of the documents ``ids``; rows of zeros for those that aren't labelled."""
+        out = np.zeros((len(ids), self.shares.shape[1]))
+        if len(self.ids) and len(ids):
+            mine = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(self.ids, mine), len(self.ids) - 1)
+            there = (self.ids[at] == mine) & ids.is_valid().to_numpy(zero_copy_only=False)
+            out[there] = self.shares[at[there]]
+        return out
+
+
+def _unevenness(counts: np.ndarray, sizes: np.ndarray):
+    """How unevenly terms (rows of ``counts``) spread over classes, and the class each leans to.
+    Classes count alike, however many documents (``sizes``) they have."""
+    n_classes = counts.shape[1]
+    rate = counts / np.maximum(sizes, 1.0)
     total = counts.sum(1, keepdims=True)
     share = rate / np.maximum(rate.sum(1, keepdims=True), 1e-12)
     share = (share * total + 1.0 / n_classes) / (total + 1.0)  # one observation's worth of evenness
     entropy = -(share * np.log(share)).sum(1)
-    return 1 - entropy / np.log(max(n_classes, 2)), share.argmax(1), total[:, 0]
+    return 1 - entropy / np.log(max(n_classes, 2)), share.argmax(1)
 
 
 def _spread(rows, cols, values, vectors, n_rows, block=200_000):
@@ -188,68 +201,166 @@ def truncated_svd(rows, cols, values, shape, k, rounds=4, seed=7):
     return q @ vt.T, sigma
 
 
-def choose_terms(docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers that tell subjects apart, and their unevenness; ``labels`` has the share of each
-    class in each sampled document, its last column meaning none of the subjects. Documents
-    without labels (rows of zeros) take on the subject that the labelled ones give them."""
-    n_classes = labels.shape[1]
-    lengths = np.array([len(d) for d in docs], np.int64)
-    rows = np.repeat(np.arange(len(docs)), lengths)
-    numbers, cols = np.unique(np.concatenate(docs) if docs else np.empty(0, np.int64), return_inverse=True)
-    frequency = np.bincount(cols, minlength=len(numbers))
-    labels = labels.copy()
-    given = labels.sum(1) > 0
-    for turn in range(SAMPLE_ROUNDS + 1):
-        g, lean, seen = _unevenness(rows, cols, labels, len(numbers), n_classes)
-        keep = (g >= UNEVENNESS) & (lean < n_classes - 1) & (frequency >= TERM_DOCUMENTS) & (seen > 0)
-        if turn == SAMPLE_ROUNDS or not keep.any():
+def _few(df: DataFrame) -> DataFrame:
+    """In as many tasks as run at once, as each sends its own sums for the terms it has met."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _term_counts(tokens: DataFrame, seeds: Seeds, telling) -> DataFrame:
+    """``t, n, x0, x1, ...`` (staged): documents that hold each term, and those of each class; all
+    documents in the row where ``t`` is null. ``telling``: term numbers with unevenness and the
+    class they lean to; documents without labels take on the class that most of theirs lean to, for each term the
+    class that the other terms give."""
+    n_classes = seeds.shares.shape[1]
+    names = [f"x{c}" for c in range(n_classes)]
+    side = tokens.sparkSession.sparkContext.broadcast((seeds, telling))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, telling = side.value
+        for batch in batches:
+            flat, lengths = _arrays(batch.column(1))
+            pairs = np.unique((np.repeat(np.arange(len(lengths)), lengths) << 32) + flat + (1 << 31))
+            rows, terms = pairs >> 32, (pairs & 0xFFFFFFFF) - (1 << 31)
+            held, place = np.unique(terms, return_inverse=True)
+            labels = seeds.of(batch.column(0))
+            given = labels.sum(1) > 0
+            on = np.flatnonzero(given[rows])
+            counts = np.zeros((len(held), n_classes))
+            np.add.at(counts, place[on], labels[rows[on]])
+            sizes = labels.sum(0)
+            if telling is not None and len(terms):
+                numbers, g, lean = telling
+                at = np.minimum(np.searchsorted(numbers, terms), len(numbers) - 1)
+                own = np.where(numbers[at] == terms, g[at], 0.0)
+                votes = np.bincount(rows * n_classes + lean[at], weights=own, minlength=len(lengths) * n_classes).reshape(-1, n_classes)
+                first, best, total = votes.argmax(1), votes.max(1), votes.sum(1)
+                sizes = sizes + np.bincount(first[~given & (best >= 0.8 * total) & (best >= 2.0)], minlength=n_classes)
+                # a term's own vote does not count for what it is found with
+                rest = best[rows] - np.where(lean[at] == first[rows], own, 0.0)
+                sure = ~given[rows] & (rest >= 0.8 * (total[rows] - own)) & (rest >= 2.0)
+                counts += np.bincount(place[sure] * n_classes + first[rows[sure]], minlength=len(held) * n_classes).reshape(-1, n_classes)
+            n = np.bincount(place, minlength=len(held))
+            columns = [pa.array([*held.tolist(), None], pa.int32()), pa.array(np.r_[n, len(lengths)], pa.int64())]
+            columns += [pa.array(np.r_[x, s], pa.float64()) for x, s in zip(counts.T, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", "n", *names])
+
+    ddl = "t int, n bigint, " + ", ".join(f"{x} double" for x in names)
+    parts = _few(tokens).mapInArrow(run, ddl)
+    sums = parts.groupBy("t").agg(*[F.sum(x).alias(x) for x in ["n", *names]])
+    return staged(sums.filter(F.col("t").isNull() | (F.col("n") >= TERM_DOCUMENTS)), "terms")
+
+
+def choose_terms(tokens: DataFrame, seeds: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Term numbers that tell subjects (and none of them) apart, sorted, their unevenness and the documents that hold
+    them; the number of all documents. Counted over all documents; only the chosen come to the driver."""
+    n_classes = seeds.shares.shape[1]
+    telling = None
+    for turn in range(TERM_ROUNDS + 1):
+        counts = _term_counts(tokens, seeds, telling)
+        whole = counts.filter("t is null").first()
+        if whole is None:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0), 0
+        sizes = np.array(whole[2:], float)
+
+        def run(batches: Iterator[pa.RecordBatch], sizes=sizes) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                seen = np.stack([c.to_numpy() for c in batch.columns[2:]], 1)
+                g, lean = _unevenness(seen, sizes)
+                keep = (g >= UNEVENNESS) & (seen.sum(1) > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.filter(pa.array(keep)) for c in batch.columns[:2]), pa.array(g[keep]), pa.array(lean[keep], pa.int32())], names=["t", "n", "g", "lean"]
+                )
+
+        kept = counts.filter("t is not null").mapInArrow(run, "t int, n bigint, g double, lean int").toArrow()
+        order = np.argsort(kept.column("t").to_numpy(), kind="stable")
+        terms, n, g, lean = (kept.column(c).to_numpy()[order] for c in ("t", "n", "g", "lean"))
+        if not len(terms):
             break
-        # each other document takes on the subject that most of its telling terms lean to
-        weight = np.where(keep, g, 0.0)
-        votes = np.stack([np.bincount(rows, weights=weight[cols] * (lean[cols] == c), minlength=len(docs)) for c in range(n_classes - 1)], 1)
-        best, total = votes.max(1), votes.sum(1)
-        sure = ~given & (best >= 0.8 * total) & (best >= 2.0)
-        labels[~given] = 0
-        labels[np.flatnonzero(sure), votes[sure].argmax(1)] = 1
-    return numbers[keep].astype(np.int64), g[keep]
+        telling = terms.astype(np.int64), g, lean.astype(np.int64)
+    return terms.astype(np.int64), g, n.astype(float), whole["n"]
+
+
+def _weighted(flat: np.ndarray, lengths: np.ndarray, weight: np.ndarray):
+    """Rows, columns, damped counts and weighted values (rows of length 1) of documents by terms."""
+    there = flat >= 0
+    doc = np.repeat(np.arange(len(lengths)), lengths)[there]
+    pairs, tf = np.unique(doc * len(weight) + flat[there], return_counts=True)
+    rows, cols = np.divmod(pairs, len(weight))
+    damped = 1 + np.log(tf)
+    values = damped * weight[cols]
+    norms = np.sqrt(np.bincount(rows, weights=values**2, minlength=len(lengths)))
+    return rows, cols, damped, values / np.maximum(norms[rows], 1e-12)
+
+
+def _products(features: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the matrix A of all documents by terms: A'A times ``q``, and the squared lengths of A's columns."""
+    k = q.shape[1]
+    names = [f"z{d}" for d in range(k)]
+    side = features.sparkSession.sparkContext.broadcast((weight, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, q = side.value
+        sums = np.zeros((len(weight), k + 1))
+        for batch in batches:
+            flat, lengths = _arrays(batch.column(0))
+            rows, cols, _, values = _weighted(flat, lengths, weight)
+            y = _spread(rows, cols, values, q, len(lengths))
+            order = np.argsort(cols, kind="stable")
+            sums[:, :k] += _spread(cols[order], rows[order], values[order], y, len(weight))
+            sums[:, k] += np.bincount(cols, weights=values**2, minlength=len(weight))
+        met = np.flatnonzero(sums[:, k])
+        columns = [pa.array(met, pa.int32()), *(pa.array(sums[met, d]) for d in range(k + 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["t", *names, "square"])
+
+    ddl = "t int, " + ", ".join(f"{x} double" for x in [*names, "square"])
+    parts = _few(features.select("terms")).mapInArrow(run, ddl)
+    got = parts.groupBy("t").agg(*[F.sum(x).alias(x) for x in [*names, "square"]]).toArrow()  # a row for each chosen term
+    out = np.zeros((len(weight), k + 1))
+    out[got.column("t").to_numpy()] = np.stack([c.to_numpy() for c in got.columns[1:]], 1)
+    return out[:, :k], out[:, k]
+
+
+def corpus_svd(features: DataFrame, weight: np.ndarray, n_docs: int, k: int, rounds: int = SVD_ROUNDS, seed: int = 7):
+    """``truncated_svd`` of the weighted matrix of all documents by terms, a pass over ``features``
+    for each round; also the lengths of the matrix's columns."""
+    k = max(1, min(k, n_docs, len(weight)))
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(weight), k)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(_products(features, weight, q)[0])[0]
+    z, squares = _products(features, weight, q)
+    inner = q.T @ z
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    return q @ turn[:, ::-1], np.sqrt(np.maximum(values[::-1], 0.0)), np.sqrt(squares)
 
 
 def fit(
-    docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, g: np.ndarray, frequency: np.ndarray, n_docs: int, subjects: list[str]
+    features: DataFrame, seeds: Seeds, terms: np.ndarray, g: np.ndarray, frequency: np.ndarray, n_docs: int, subjects: list[str]
 ) -> Model:
-    """``docs``: positions in ``terms`` of each sampled document, with repeats; ``labels``: the shares
-    given by hand, which make the seeds; ``frequency``: documents of the corpus that hold each term,
-    of ``n_docs``. Wordings that share no document with others of their subject are lost in the
+    """``features``: positions in ``terms`` of each document; ``frequency``: documents that hold each
+    term, of ``n_docs``. Wordings that share no document with others of their subject are lost in the
     truncation; the uneven ones are folded in as the centroids of the labelled documents that hold them.
     """
-    idf = np.log((n_docs + 1.0) / (frequency + 1.0)) + 1.0
-    weight = idf * g * g
-    rows, cols, tf = [], [], []
-    for i, d in enumerate(docs):
-        u, n = np.unique(d, return_counts=True)
-        rows.append(np.full(len(u), i))
-        cols.append(u)
-        tf.append(n)
-    rows, cols, tf = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, cols, tf))
-    n_subjects = len(subjects)
-    if not len(terms) or not len(rows):
-        return Model(subjects, terms, np.zeros((len(terms), 1), np.float32), np.zeros((n_subjects, 1), np.float32))
-    values = (1 + np.log(tf)) * weight[cols]
-    norms = np.sqrt(np.bincount(rows, weights=values**2, minlength=len(docs)))
-    values /= np.maximum(norms[rows], 1e-12)
-    v, sigma = truncated_svd(rows, cols, values, (len(docs), len(terms)), DIMENSIONS)
+    weight = (np.log((n_docs + 1.0) / (frequency + 1.0)) + 1.0) * g * g
+    n_classes = seeds.shares.shape[1]
+    if not len(terms) or not subjects:
+        return Model(subjects, terms, np.zeros((len(terms), 1), np.float32), np.zeros((n_classes, 1), np.float32))
+    v, sigma, length = corpus_svd(features, weight, n_docs, DIMENSIONS)
     vectors = v * weight[:, None]
-    points = _unit_rows(_spread(rows, cols, 1 + np.log(tf), vectors, len(docs)))
-    only = labels[:, :n_subjects] == 1
-    centroids = _unit_rows(np.stack([points[only[:, c]].sum(0) for c in range(n_subjects)]))
-    length = np.sqrt(np.bincount(cols, weights=values**2, minlength=len(terms)))
+    chosen = features.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(seeds.ids, pa.int64())}))
+    held = features.join(F.broadcast(chosen), "doc_id", "left_semi").toArrow()  # LABELLED documents or so
+    labels = seeds.of(held.column("doc_id").combine_chunks())
+    flat, lengths = _arrays(held.column("terms").combine_chunks()) if len(labels) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    rows, cols, damped, values = _weighted(flat, lengths, weight)
+    points = _unit_rows(_spread(rows, cols, damped, vectors, len(labels)))
+    only = labels == 1
+    centroids = _unit_rows(np.stack([points[only[:, c]].sum(0) for c in range(n_classes)]))
     by_term = np.lexsort((rows, cols))
-    folded = _spread(cols[by_term], rows[by_term], values[by_term], labels[:, :n_subjects] @ centroids, len(terms))
-    support = np.bincount(cols, weights=labels[rows, :n_subjects].sum(1), minlength=len(terms))
+    folded = _spread(cols[by_term], rows[by_term], values[by_term], labels @ centroids, len(terms))
+    support = np.bincount(cols, weights=labels[rows].sum(1), minlength=len(terms))
     captured = np.linalg.norm(v * sigma, axis=1) / np.maximum(length, 1e-12)
     apart = (_unit_rows(vectors) @ centroids.T).max(1) < APART
     lost = ((captured < CAPTURED) | apart) & (support >= TERM_DOCUMENTS) & (g >= FOLD_UNEVENNESS)
-    vectors[lost] = (_unit_rows(folded) * (weight * length / sigma[: n_subjects].mean())[:, None])[lost]
+    vectors[lost] = (_unit_rows(folded) * (weight * length / max(sigma[:n_classes].mean(), 1e-12))[:, None])[lost]
     return Model(subjects, terms, vectors.astype(np.float32), _unit_rows(centroids).astype(np.float32))
 
 
@@ -271,7 +382,7 @@ def unit_subjects(flat: np.ndarray, lengths: np.ndarray, model: Model):
     best = cosine.argmax(1)
     top = cosine.max(1)
     second = np.partition(cosine, -2, axis=1)[:, -2] if cosine.shape[1] > 1 else np.zeros(len(top))
-    ok = (top >= UNIT_COSINE) & (top >= AHEAD * second)
+    ok = (top >= UNIT_COSINE) & (top >= AHEAD * second) & (best < len(model.subjects))
     return doc_of_unit[ok], best[ok]
 
 
@@ -304,55 +415,67 @@ def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.int64), np.diff(offsets)
 
 
-def _list_batch(ids: pa.Array, lists: list[list[int]], names: list[str], kind=np.int32) -> pa.RecordBatch:
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter((i for x in lists for i in x), kind, int(offsets[-1]))
-    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=names)
+def _lists(offsets: np.ndarray, flat) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _bag_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, terms``: distinct term numbers of each document."""
+def _tokens_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, terms, units``: term numbers of each document, and how many each of its units has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            bags = [sorted({n for u in units_of(t or "") for n in terms.of(u)}) for t in batch.column(1).to_pylist()]
-            yield _list_batch(batch.column(0), bags, ["doc_id", "terms"], np.int64)
+            flat, units = array("i"), array("i")
+            flat_at, units_at = [0], [0]
+            for t in batch.column(1).to_pylist():
+                for u in units_of(t) if t else ():
+                    if got := terms.of(u):
+                        flat.extend(got)
+                        units.append(len(got))
+                flat_at.append(len(flat))
+                units_at.append(len(units))
+            lists = [_lists(np.array(o), np.frombuffer(x, np.int32)) for o, x in ((flat_at, flat), (units_at, units))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "terms", "units"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, terms array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, terms array<int>, units array<int>")
 
 
-def _positions_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
+def _positions_of(tokens: DataFrame, known: np.ndarray) -> DataFrame:
     """``doc_id, terms``: positions of the known terms of each unit, -1 behind each unit that has any."""
-    side = docs.sparkSession.sparkContext.broadcast(known)
+    side = tokens.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(side.value)
+        known = side.value
         for batch in batches:
-            lists = []
-            for t in batch.column(1).to_pylist():
-                out: list[int] = []
-                for u in units_of(t) if t else ():
-                    if got := terms.of(u):
-                        out += got
-                        out.append(-1)
-                lists.append(out)
-            yield _list_batch(batch.column(0), lists, ["doc_id", "terms"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, terms array<int>")
-
-
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[int], dict[int, set[str]]]:
-    """Ids of the fitting sample and the labels of its labelled documents."""
-    order = F.xxhash64("doc_id")
-    chosen = labels.filter("doc_id is not null and subject is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(LABELLED)
-    given: dict[int, set[str]] = {}
-    for r in labels.join(F.broadcast(chosen), "doc_id").collect():  # at most LABELLED documents
-        if r["subject"] is not None:
-            given.setdefault(r["doc_id"], set()).add(r["subject"])
-    other = docs.filter("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(UNLABELLED).collect()
-    return list(dict.fromkeys([*given, *(r["doc_id"] for r in other)])), given
+            flat, lengths = _arrays(batch.column(1))
+            sizes, _ = _arrays(batch.column(2))
+            doc, unit = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            on = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            at, doc, unit = at[on], doc[on], unit[on]
+            last = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) if len(unit) else np.empty(0, np.int64)
+            out = np.insert(at, last + 1, -1)
+            n = np.bincount(np.insert(doc, last + 1, doc[last]), minlength=len(lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.r_[0, np.cumsum(n)], out)], names=["doc_id", "terms"])
+
+    return tokens.mapInArrow(run, "doc_id bigint, terms array<int>")
+
+
+def labelled_sample(labels: DataFrame, names: list[str]) -> Seeds:
+    """As many documents of each subject, and of none, up to LABELLED in all, with all their labels."""
+    known = F.when(F.col("subject").isin(names), F.col("subject")).otherwise(NONE) if names else F.lit(NONE)
+    given = labels.filter("doc_id is not null and subject is not null").select("doc_id", known.alias("class"), "subject").distinct()
+    order = Window.partitionBy("class").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = given.select("doc_id", "class").distinct().withColumn("n", F.row_number().over(order))
+    chosen = ranked.filter(F.col("n") <= max(1, LABELLED // (len(names) + 1))).select("doc_id").distinct()
+    found: dict[int, set[str]] = {}
+    for r in given.join(F.broadcast(chosen), "doc_id").collect():  # at most LABELLED documents
+        found.setdefault(r["doc_id"], set()).add(r["subject"])
+    shares = np.zeros((len(found), len(names) + 1))
+    for i, d in enumerate(sorted(found)):
+        for s in found[d]:
+            shares[i, names.index(s) if s in names else len(names)] += 1.0 / len(found[d])
+    return Seeds(np.array(sorted(found), np.int64), shares)
 
 
 def _refined(features: DataFrame, model: Model) -> Model:
@@ -382,30 +505,12 @@ def _refined(features: DataFrame, model: Model) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame]:
     """The fitted model, and the corpus as term positions (staged)."""
-    spark = docs.sparkSession
     names = [r["subject"] for r in subjects.select("subject").distinct().orderBy("subject").limit(1000).collect() if r["subject"] not in (None, NONE)]
-    ids, given = _sample(docs, labels)
-    chosen = spark.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))
-    bags = _bag_of(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).toArrow()  # LABELLED + UNLABELLED rows at most
-    order = np.argsort(bags.column("doc_id").to_numpy(), kind="stable")
-    ids = bags.column("doc_id").to_numpy()[order]
-    sets = bags.column("terms").combine_chunks()
-    flat, lengths = _arrays(sets) if len(ids) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    starts = np.r_[0, np.cumsum(lengths)]
-    sample = [flat[starts[i] : starts[i + 1]] for i in order]
-    shares = np.zeros((len(ids), len(names) + 1))
-    for i, d in enumerate(ids.tolist()):
-        for s in given.get(d, ()):
-            shares[i, names.index(s) if s in names else len(names)] = 1.0 / len(given[d])
-    terms, g = choose_terms(sample, shares)
-    features = staged(_positions_of(docs, terms), "subjects")
-    held = features.select(F.explode(F.array_distinct("terms")).alias("t")).filter("t >= 0").groupBy("t").count()
-    frequency = np.zeros(len(terms))
-    for r in held.collect():  # a row for each chosen term
-        frequency[r["t"]] = r["count"]
-    place = {int(t): i for i, t in enumerate(terms)}
-    known = [np.array([place[t] for t in d.tolist() if t in place], np.int64) for d in sample]
-    model = fit(known, shares, terms, g, frequency, features.count(), names)
+    seeds = labelled_sample(labels, names)
+    tokens = staged(_tokens_of(docs), "tokens")
+    terms, g, frequency, n_docs = choose_terms(tokens, seeds)
+    features = staged(_positions_of(tokens, terms), "subjects")
+    model = fit(features, seeds, terms, g, frequency, n_docs, names)
     for _ in range(CORPUS_ROUNDS if names else 0):
         model = _refined(features, model)
     return model, features

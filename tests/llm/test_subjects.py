@@ -98,3 +98,30 @@ def test_svd_is_the_usual_one(shape):
     v, s = su.truncated_svd(r, c, dense[r, c], shape, 3, rounds=60)
     _, s0, v0 = np.linalg.svd(dense, full_matrices=False)
     assert np.allclose(s, s0[:3], rtol=1e-4) and np.allclose(np.abs((v * v0[:3].T).sum(0)), 1, atol=1e-2)
+
+
+def test_rare_wording_of_a_large_corpus_counts(spark):
+    """Six documents of thousands, none of them labelled, hold a wording: too few for any sample."""
+    docs, truth = corpus(300)
+    rng = random.Random(4)
+    rare = [(1000 + i, commit(rng, ["sport"]) + "\n+def keepnet(ball, limit=3):") for i in range(6)]
+    filler = [(10_000 + i, "Merge branch 'main'") for i in range(8000)]
+    d = spark.createDataFrame([*docs, *rare, *filler], "doc_id bigint, text string")
+    l = spark.createDataFrame([(i, s) for i in range(150) for s in truth[i]], "doc_id bigint, subject string")
+    model, _ = su.train(d, l, spark.createDataFrame([(x,) for x in WORDS], "subject string"))
+    assert su.Terms().of("keepnet")[0] in model.terms
+
+
+def test_svd_over_the_corpus(spark):
+    rng = np.random.default_rng(2)
+    lists = [rng.integers(0, 12, rng.integers(0, 9)).tolist() + [-1] for _ in range(60)]
+    features = spark.createDataFrame(list(enumerate(lists)), "doc_id bigint, terms array<int>").repartition(3)
+    weight = rng.random(12) + 0.5
+    v, s, length = su.corpus_svd(features, weight, 60, 4, rounds=30)
+    flat, lengths = np.concatenate([np.array(x) for x in lists]), np.array([len(x) for x in lists])
+    rows, cols, _, values = su._weighted(flat, lengths, weight)
+    dense = np.zeros((60, 12))
+    dense[rows, cols] = values
+    _, s0, v0 = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(s, s0[:4], rtol=1e-3) and np.allclose(np.abs((v * v0[:4].T).sum(0)), 1, atol=2e-2)
+    assert np.allclose(length, np.linalg.norm(dense, axis=0))
