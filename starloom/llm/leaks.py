@@ -10,8 +10,10 @@ Windows of template tokens are hashed and joined by hash. A shared template wind
 document holds an item's wording, perhaps with other numbers and names. The slots decide:
 
 * exact: the words themselves agree as well (``shared_passages``),
-* re-parameterised: over all windows that an item and a document share, the slots are filled
-  consistently, each value of the item standing for one value of the document (``template_leaks``).
+* re-parameterised: over the windows that an item and a document share at one alignment (places
+  that lie equally far apart), the slots are filled consistently, each value of the item standing
+  for one value of the document (``template_leaks``). One such alignment is enough: a document may
+  hold an item several times, with other values each time.
 
 Every window of words that agrees is a window of templates that agrees, so nothing exact is missed.
 """
@@ -151,7 +153,7 @@ class ItemWindows:
         return at, first[at], np.searchsorted(self.hashes, mine[at], side="right")
 
     def compare(self, words: list[str]):
-        """(item id, exact windows, template windows, slots consistent) for each item that shares a window."""
+        """(item id, exact windows, template windows, slots consistent at some alignment) for each item that shares a window."""
         token = self.templates.token
         found: dict[int, list] = {}
         for at, first, end in zip(*(x.tolist() for x in self.hits(words))):
@@ -162,15 +164,16 @@ class ItemWindows:
                 tokens = [token(w) for w in theirs]
                 if tokens != [token(w) for w in mine]:
                     continue  # the hashes agree by chance
-                state = found.setdefault(item, [0, 0, True, {}, {}])
+                state = found.setdefault(item, [0, 0, {}])
                 pairs = [(a.lower(), b.lower()) for a, b in zip(theirs, mine)]
                 state[0] += all(a == b for a, b in pairs)
                 state[1] += 1
+                slots = state[2].setdefault(at - i, [True, {}, {}])
                 for t, (a, b) in zip(tokens, pairs):
-                    if t[0] == "\0" and (state[3].setdefault(a, b) != b or state[4].setdefault(b, a) != a):
-                        state[2] = False
-        for item, (exact, shared, consistent, _, _) in found.items():
-            yield self.ids[item], exact, shared, consistent
+                    if t[0] == "\0" and (slots[1].setdefault(a, b) != b or slots[2].setdefault(b, a) != a):
+                        slots[0] = False
+        for item, (exact, shared, alignments) in found.items():
+            yield self.ids[item], exact, shared, any(consistent for consistent, _, _ in alignments.values())
 
 
 # --- over the corpus ----------------------------------------------------------------------
@@ -226,7 +229,7 @@ def document_matches_shuffled(docs: DataFrame, items: DataFrame, window: int = W
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = side.value
         for batch in batches:
-            ids, hashes, texts, slots = [], [], [], []
+            ids, places, hashes, texts, slots = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text) if text else []
                 found = window_hashes(templates.numbers(words), window).tolist()
@@ -234,24 +237,28 @@ def document_matches_shuffled(docs: DataFrame, items: DataFrame, window: int = W
                 tokens = [templates.token(w) for w in words] if found else []
                 for at, h in enumerate(found):
                     ids.append(i)
+                    places.append(at)
                     hashes.append(h - (1 << 63))
                     texts.append(" ".join(small[at : at + window]))
                     slots.append([w for w, t in zip(small[at : at + window], tokens[at : at + window]) if t[0] == "\0"])
-            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string()), pa.array(slots, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "words", "slots"])
+            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(slots, pa.list_(pa.string()))], names=["id", "at", "h", "words", "slots"])
 
-    ddl = "id bigint, h bigint, words string, slots array<string>"
-    theirs = items.select("item_id", "passage").mapInArrow(windows, ddl).withColumnsRenamed({"id": "item_id", "words": "i_words", "slots": "i_slots"})
-    mine = docs.select("doc_id", "text").mapInArrow(windows, ddl).withColumnsRenamed({"id": "doc_id", "words": "d_words", "slots": "d_slots"})
+    ddl = "id bigint, at int, h bigint, words string, slots array<string>"
+    theirs = items.select("item_id", "passage").mapInArrow(windows, ddl).withColumnsRenamed({"id": "item_id", "at": "i_at", "words": "i_words", "slots": "i_slots"})
+    mine = docs.select("doc_id", "text").mapInArrow(windows, ddl).withColumnsRenamed({"id": "doc_id", "at": "d_at", "words": "d_words", "slots": "d_slots"})
     pairs = mine.join(theirs, "h").filter(F.size("i_slots") == F.size("d_slots"))
-    pairs = pairs.select("doc_id", "item_id", (F.col("d_words") == F.col("i_words")).cast("int").alias("same"), F.arrays_zip("i_slots", "d_slots").alias("z"))
-    counts = pairs.groupBy("doc_id", "item_id").agg(F.sum("same").cast("int").alias("n_exact"), F.count(F.lit(1)).cast("int").alias("n_template"))
-    fills = pairs.select("doc_id", "item_id", F.explode("z").alias("z")).select("doc_id", "item_id", "z.i_slots", "z.d_slots").distinct()
-    clash = fills.groupBy("doc_id", "item_id", "i_slots").count().filter("count > 1").select("doc_id", "item_id")
-    back = fills.groupBy("doc_id", "item_id", "d_slots").count().filter("count > 1").select("doc_id", "item_id")
+    same, shift = (F.col("d_words") == F.col("i_words")).cast("int"), F.col("d_at") - F.col("i_at")
+    pairs = pairs.select("doc_id", "item_id", shift.alias("shift"), same.alias("same"), F.arrays_zip("i_slots", "d_slots").alias("z"))
+    keys = ["doc_id", "item_id", "shift"]
+    counts = pairs.groupBy(*keys).agg(F.sum("same").alias("n_exact"), F.count(F.lit(1)).alias("n_template"))
+    fills = pairs.select(*keys, F.explode("z").alias("z")).select(*keys, "z.i_slots", "z.d_slots").distinct()
+    clash = fills.groupBy(*keys, "i_slots").count().filter("count > 1").select(*keys)
+    back = fills.groupBy(*keys, "d_slots").count().filter("count > 1").select(*keys)
     broken = clash.unionByName(back).distinct().withColumn("broken", F.lit(True))
-    out = counts.join(broken, ["doc_id", "item_id"], "left")
-    return out.select("doc_id", "item_id", "n_exact", "n_template", F.col("broken").isNull().alias("consistent"))
+    out = counts.join(broken, keys, "left").groupBy("doc_id", "item_id")
+    sums = [F.sum(n).cast("int").alias(n) for n in ("n_exact", "n_template")]
+    return out.agg(*sums, F.max(F.col("broken").isNull()).alias("consistent"))
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,3 +78,14 @@ def test_large_item_sets_go_through_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(lk, "BROADCAST_WINDOWS", 100)
     d, i = tables(spark, [(1, PASSAGE)], ITEMS)
     assert {r["item_id"] for r in lk.shared_passages(lk.document_matches(d, i)).collect()} == {1, 5}
+
+
+def test_an_item_held_twice_with_other_numbers(spark):
+    """Old and new line of a diff, each filled consistently, but not alike."""
+    twice = "-" + PASSAGE.replace("21", "34") + "\n+" + PASSAGE.replace("21", "35")
+    neither = "-" + PASSAGE.replace("Later Clemoto", "Later Xandor") + "\n+" + PASSAGE.replace("which Clemoto", "which Quibble")
+    neither = neither.replace("21", "34").replace("65", "7").replace("Halrofaton", "Zemlor")
+    d, i = tables(spark, [(1, twice), (2, neither)], [(1, PASSAGE.replace("65", "64"))])
+    for find in (lk.document_matches, lk.document_matches_shuffled):
+        m = {r["doc_id"]: r for r in find(d, i).collect()}
+        assert m[1]["consistent"] and not m[2]["consistent"]
