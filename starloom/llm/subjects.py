@@ -11,11 +11,13 @@ only one unit speaks of, beside others that are spoken of, was named in passing.
 What is bounded: the labelled documents that serve as seeds, LABELLED at most, as many of each subject.
 What covers every document: which terms there are, their frequencies and unevenness, the
 decomposition, centroid refinement, assignment. The driver and each task hold the chosen terms, a row of
-DIMENSIONS numbers for each.
+DIMENSIONS numbers for each. A term must be held by a share of all documents (TERM_SHARE), so that the
+terms don't grow with the corpus: at most the mean number of different terms in a document, over that share.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -27,21 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.sources.shared import staged
+from starloom.sources.shared import dropped, staged
 
 #: Labelled documents that serve as seeds, chosen by a hash of their id among those of each subject.
 LABELLED = 6000
-#: Documents that must hold a term.
+#: Documents that must hold a term, and the share of all documents. The share bounds the number of terms,
+#: whatever the size of the corpus.
 TERM_DOCUMENTS = 3
+TERM_SHARE = 1e-4
+#: Share of all documents that holds a term from which the decomposition's subspace is found.
+CORE_SHARE = 1e-3
 DIMENSIONS = 32
 #: A term is folded in if the truncated decomposition keeps less than this share of its length or
 #: leaves it further than this cosine from every centroid, and if it is this uneven.
 CAPTURED = 0.5
 APART = 0.4
 FOLD_UNEVENNESS = 0.8
+#: Observations of a term in documents that were given a class, at most, beside those in labelled ones.
+GIVEN = 20
 #: Rounds over the corpus that spread the labels to choose terms, of the decomposition, and of the centroids.
 TERM_ROUNDS = 2
-SVD_ROUNDS = 4
+SVD_ROUNDS = 2
 CORPUS_ROUNDS = 2
 #: Terms spread more evenly over subjects than this (0 evenly, 1 in a single one) carry no subject.
 UNEVENNESS = 0.45
@@ -160,16 +168,29 @@ class Seeds:
         return out
 
 
-def _unevenness(counts: np.ndarray, sizes: np.ndarray):
-    """How unevenly terms (rows of ``counts``) spread over classes, and the class each leans to.
-    Classes count alike, however many documents (``sizes``) they have."""
-    n_classes = counts.shape[1]
-    rate = counts / np.maximum(sizes, 1.0)
-    total = counts.sum(1, keepdims=True)
-    share = rate / np.maximum(rate.sum(1, keepdims=True), 1e-12)
-    share = (share * total + 1.0 / n_classes) / (total + 1.0)  # one observation's worth of evenness
-    entropy = -(share * np.log(share)).sum(1)
-    return 1 - entropy / np.log(max(n_classes, 2)), share.argmax(1)
+def _unevenness(term: np.ndarray, of: np.ndarray, x: np.ndarray, sizes: np.ndarray, n_terms: int):
+    """How unevenly terms spread over classes, the class each leans to, and what was seen of it. ``x``
+    observations of ``term`` lie in class ``of``, a pair once. Classes count alike, however many documents
+    (``sizes``) they have. The first half of the classes holds labelled documents, the second those that
+    were given a class; the latter count as GIVEN observations of a term at most."""
+    n_classes = len(sizes) // 2
+    rate = x / np.maximum(sizes[of], 1.0)
+    kind = term * 2 + of // n_classes
+    seen = np.bincount(kind, weights=x, minlength=2 * n_terms)
+    seen = seen.astype(float)  # without rows they are integers
+    seen[1::2] = np.minimum(seen[1::2], GIVEN)
+    together = np.maximum(np.bincount(kind, weights=rate, minlength=2 * n_terms), 1e-12)
+    pairs, at = np.unique(term * n_classes + of % n_classes, return_inverse=True)
+    x = np.bincount(at, weights=rate / together[kind] * seen[kind], minlength=len(pairs))
+    term, of, seen = pairs // n_classes, pairs % n_classes, seen[::2] + seen[1::2]
+    share = (x + 1.0 / n_classes) / (seen[term] + 1.0)  # one observation's worth of evenness
+    rest = 1.0 / n_classes / (seen + 1.0)  # the share of each class without observations
+    entropy = -np.bincount(term, weights=share * np.log(share), minlength=n_terms).astype(float)
+    entropy -= (n_classes - np.bincount(term, minlength=n_terms)) * rest * np.log(rest)
+    lean = np.zeros(n_terms, np.int64)
+    order = np.lexsort((-of, x, term))  # the last of each term: the most observations, of equal ones the first class
+    lean[term[order]] = of[order]
+    return 1 - entropy / np.log(max(n_classes, 2)), lean, seen
 
 
 def _spread(rows, cols, values, vectors, n_rows, block=200_000):
@@ -206,78 +227,95 @@ def _few(df: DataFrame) -> DataFrame:
     return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def _term_counts(tokens: DataFrame, seeds: Seeds, telling) -> DataFrame:
-    """``t, n, x0, x1, ...`` (staged): documents that hold each term, and those of each class; all
-    documents in the row where ``t`` is null. ``telling``: term numbers with unevenness and the
-    class they lean to; documents without labels take on the class that most of theirs lean to, for each term the
-    class that the other terms give."""
+def known_terms(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Term numbers that enough of all documents hold, sorted, the documents that hold each; the number
+    of all documents. There are no more of them than a document has terms in the mean, over TERM_SHARE."""
+    n_docs = tokens.count()
+    held = tokens.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    got = held.filter(F.col("n") >= max(TERM_DOCUMENTS, math.ceil(TERM_SHARE * n_docs))).toArrow()
+    terms, n = (got.column(c).to_numpy().astype(np.int64) for c in ("t", "n"))
+    order = np.argsort(terms)
+    return terms[order], n[order], n_docs
+
+
+def _held_by(tokens: DataFrame, known: np.ndarray) -> DataFrame:
+    """``doc_id, held``: positions of the known terms that a document holds, each once."""
+    side = tokens.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = side.value
+        for batch in batches:
+            flat, lengths = _arrays(batch.column(1))
+            at, on = _positions(known, flat)
+            pairs = np.unique((np.repeat(np.arange(len(lengths)), lengths)[on] << 32) + at[on])
+            n = np.bincount(pairs >> 32, minlength=len(lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.r_[0, np.cumsum(n)], pairs & 0xFFFFFFFF)], names=["doc_id", "held"])
+
+    return tokens.select("doc_id", "terms").mapInArrow(run, "doc_id bigint, held array<int>")
+
+
+def _class_counts(held: DataFrame, seeds: Seeds, telling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Term positions, classes and how many documents of the class hold the term, where there are any;
+    documents of each class. Classes of labelled documents come first, then the same for documents that
+    were given one. ``telling``: unevenness and the class it leans to of each term; documents
+    without labels take on the class that most of theirs lean to, for each term the class that the other terms give."""
     n_classes = seeds.shares.shape[1]
-    names = [f"x{c}" for c in range(n_classes)]
-    side = tokens.sparkSession.sparkContext.broadcast((seeds, telling))
+    side = held.sparkSession.sparkContext.broadcast((seeds, telling))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, telling = side.value
+        sizes = np.zeros(2 * n_classes)
         for batch in batches:
-            flat, lengths = _arrays(batch.column(1))
-            pairs = np.unique((np.repeat(np.arange(len(lengths)), lengths) << 32) + flat + (1 << 31))
-            rows, terms = pairs >> 32, (pairs & 0xFFFFFFFF) - (1 << 31)
-            held, place = np.unique(terms, return_inverse=True)
+            cols, lengths = _arrays(batch.column(1))
+            rows = np.repeat(np.arange(len(lengths)), lengths)
             labels = seeds.of(batch.column(0))
+            sizes[:n_classes] += labels.sum(0)
             given = labels.sum(1) > 0
-            on = np.flatnonzero(given[rows])
-            counts = np.zeros((len(held), n_classes))
-            np.add.at(counts, place[on], labels[rows[on]])
-            sizes = labels.sum(0)
-            if telling is not None and len(terms):
-                numbers, g, lean = telling
-                at = np.minimum(np.searchsorted(numbers, terms), len(numbers) - 1)
-                own = np.where(numbers[at] == terms, g[at], 0.0)
-                votes = np.bincount(rows * n_classes + lean[at], weights=own, minlength=len(lengths) * n_classes).reshape(-1, n_classes)
+            keys, amounts = [], []
+            for c in np.flatnonzero(labels.sum(0)):
+                on = np.flatnonzero(labels[rows, c])
+                keys.append(cols[on] * 2 * n_classes + c)
+                amounts.append(labels[rows[on], c])
+            if telling is not None and len(cols):
+                g, lean = telling
+                own, to = g[cols], lean[cols]
+                votes = np.bincount(rows * n_classes + to, weights=own, minlength=len(lengths) * n_classes).reshape(-1, n_classes)
                 first, best, total = votes.argmax(1), votes.max(1), votes.sum(1)
-                sizes = sizes + np.bincount(first[~given & (best >= 0.8 * total) & (best >= 2.0)], minlength=n_classes)
+                sizes[n_classes:] += np.bincount(first[~given & (best >= 0.8 * total) & (best >= 2.0)], minlength=n_classes)
                 # a term's own vote does not count for what it is found with
-                rest = best[rows] - np.where(lean[at] == first[rows], own, 0.0)
-                sure = ~given[rows] & (rest >= 0.8 * (total[rows] - own)) & (rest >= 2.0)
-                counts += np.bincount(place[sure] * n_classes + first[rows[sure]], minlength=len(held) * n_classes).reshape(-1, n_classes)
-            n = np.bincount(place, minlength=len(held))
-            columns = [pa.array([*held.tolist(), None], pa.int32()), pa.array(np.r_[n, len(lengths)], pa.int64())]
-            columns += [pa.array(np.r_[x, s], pa.float64()) for x, s in zip(counts.T, sizes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["t", "n", *names])
-
-    ddl = "t int, n bigint, " + ", ".join(f"{x} double" for x in names)
-    parts = _few(tokens).mapInArrow(run, ddl)
-    sums = parts.groupBy("t").agg(*[F.sum(x).alias(x) for x in ["n", *names]])
-    return staged(sums.filter(F.col("t").isNull() | (F.col("n") >= TERM_DOCUMENTS)), "terms")
-
-
-def choose_terms(tokens: DataFrame, seeds: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Term numbers that tell subjects (and none of them) apart, sorted, their unevenness and the documents that hold
-    them; the number of all documents. Counted over all documents; only the chosen come to the driver."""
-    n_classes = seeds.shares.shape[1]
-    telling = None
-    for turn in range(TERM_ROUNDS + 1):
-        counts = _term_counts(tokens, seeds, telling)
-        whole = counts.filter("t is null").first()
-        if whole is None:
-            return np.empty(0, np.int64), np.empty(0), np.empty(0), 0
-        sizes = np.array(whole[2:], float)
-
-        def run(batches: Iterator[pa.RecordBatch], sizes=sizes) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                seen = np.stack([c.to_numpy() for c in batch.columns[2:]], 1)
-                g, lean = _unevenness(seen, sizes)
-                keep = (g >= UNEVENNESS) & (seen.sum(1) > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.filter(pa.array(keep)) for c in batch.columns[:2]), pa.array(g[keep]), pa.array(lean[keep], pa.int32())], names=["t", "n", "g", "lean"]
-                )
-
-        kept = counts.filter("t is not null").mapInArrow(run, "t int, n bigint, g double, lean int").toArrow()
-        order = np.argsort(kept.column("t").to_numpy(), kind="stable")
-        terms, n, g, lean = (kept.column(c).to_numpy()[order] for c in ("t", "n", "g", "lean"))
-        if not len(terms):
+                rest = best[rows] - np.where(to == first[rows], own, 0.0)
+                sure = np.flatnonzero(~given[rows] & (rest >= 0.8 * (total[rows] - own)) & (rest >= 2.0))
+                keys.append((cols[sure] * 2 + 1) * n_classes + first[rows[sure]])
+                amounts.append(np.ones(len(sure)))
+            if keys:
+                key, at = np.unique(np.concatenate(keys), return_inverse=True)
+                yield _triples(key // (2 * n_classes), key % (2 * n_classes), np.bincount(at, weights=np.concatenate(amounts), minlength=len(key)))
+        yield _triples(np.full(2 * n_classes, -1), np.arange(2 * n_classes), sizes)
+
+    sums = held.mapInArrow(run, "s int, d int, x double").groupBy("s", "d").agg(F.sum("x").alias("x")).toArrow()
+    s, d, x = (sums.column(c).to_numpy() for c in ("s", "d", "x"))
+    sizes = np.zeros(2 * n_classes)
+    sizes[d[s < 0]] = x[s < 0]
+    there = (s >= 0) & (x > 0)
+    return s[there].astype(np.int64), d[there].astype(np.int64), x[there], sizes
+
+
+def choose_terms(tokens: DataFrame, seeds: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Term numbers that tell subjects (and none of them) apart, sorted, their unevenness, the class each leans to
+    and the documents that hold it; the number of all documents. Counted over all documents."""
+    terms, n, n_docs = known_terms(tokens)
+    held = staged(_held_by(tokens, terms), "held")
+    telling, g, lean, seen = None, np.zeros(len(terms)), np.zeros(len(terms), np.int64), np.zeros(len(terms))
+    for _ in range(TERM_ROUNDS + 1):
+        *found, sizes = _class_counts(held, seeds, telling)
+        g, lean, seen = _unevenness(*found, sizes, len(terms))
+        g = np.where((g >= UNEVENNESS) & (seen > 0), g, 0.0)
+        if not g.any():
             break
-        telling = terms.astype(np.int64), g, lean.astype(np.int64)
-    return terms.astype(np.int64), g, n.astype(float), whole["n"]
+        telling = g, lean
+    dropped(held)
+    keep = g > 0
+    return terms[keep], g[keep], lean[keep], n[keep].astype(float), n_docs
 
 
 def _weighted(flat: np.ndarray, lengths: np.ndarray, weight: np.ndarray):
@@ -292,78 +330,159 @@ def _weighted(flat: np.ndarray, lengths: np.ndarray, weight: np.ndarray):
     return rows, cols, damped, values / np.maximum(norms[rows], 1e-12)
 
 
-def _products(features: DataFrame, weight: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the matrix A of all documents by terms: A'A times ``q``, and the squared lengths of A's columns."""
-    k = q.shape[1]
+def _term_sums(features: DataFrame, weight: np.ndarray, k: int, points, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the matrix A of all documents by terms, and a point of ``k`` numbers for each document: A' times the
+    points, the squared lengths of A's columns, and the shares in them. ``points`` is called with the ids,
+    rows, columns and values of A in a batch and gives the points and a share for each document. ``only``: the terms wanted."""
     names = [f"z{d}" for d in range(k)]
-    side = features.sparkSession.sparkContext.broadcast((weight, q))
+    wanted = np.arange(len(weight)) if only is None else only
+    place = np.full(len(weight), -1)
+    place[wanted] = np.arange(len(wanted))
+    side = features.sparkSession.sparkContext.broadcast((weight, place, points))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, q = side.value
-        sums = np.zeros((len(weight), k + 1))
+        weight, place, points = side.value
+        n = int(place.max(initial=-1)) + 1
+        sums = np.zeros((n, k + 2))
         for batch in batches:
-            flat, lengths = _arrays(batch.column(0))
+            flat, lengths = _arrays(batch.column(1))
             rows, cols, _, values = _weighted(flat, lengths, weight)
-            y = _spread(rows, cols, values, q, len(lengths))
-            order = np.argsort(cols, kind="stable")
-            sums[:, :k] += _spread(cols[order], rows[order], values[order], y, len(weight))
-            sums[:, k] += np.bincount(cols, weights=values**2, minlength=len(weight))
+            y, shares = points(batch.column(0), rows, cols, values, len(lengths))
+            at = place[cols]
+            on = np.flatnonzero((at >= 0) & (shares[rows] > 0))
+            on = on[np.argsort(at[on], kind="stable")]
+            sums[:, :k] += _spread(at[on], rows[on], values[on], y, n)
+            sums[:, k] += np.bincount(at[on], weights=values[on] ** 2, minlength=n)
+            sums[:, k + 1] += np.bincount(at[on], weights=shares[rows[on]], minlength=n)
         met = np.flatnonzero(sums[:, k])
-        columns = [pa.array(met, pa.int32()), *(pa.array(sums[met, d]) for d in range(k + 1))]
-        yield pa.RecordBatch.from_arrays(columns, names=["t", *names, "square"])
+        columns = [pa.array(met, pa.int32()), *(pa.array(sums[met, d]) for d in range(k + 2))]
+        yield pa.RecordBatch.from_arrays(columns, names=["t", *names, "square", "share"])
 
-    ddl = "t int, " + ", ".join(f"{x} double" for x in [*names, "square"])
-    parts = _few(features.select("terms")).mapInArrow(run, ddl)
-    got = parts.groupBy("t").agg(*[F.sum(x).alias(x) for x in [*names, "square"]]).toArrow()  # a row for each chosen term
-    out = np.zeros((len(weight), k + 1))
+    ddl = "t int, " + ", ".join(f"{x} double" for x in [*names, "square", "share"])
+    parts = _few(features.select("doc_id", "terms")).mapInArrow(run, ddl)
+    got = parts.groupBy("t").agg(*[F.sum(x).alias(x) for x in [*names, "square", "share"]]).toArrow()  # a row for each wanted term
+    out = np.zeros((len(wanted), k + 2))
     out[got.column("t").to_numpy()] = np.stack([c.to_numpy() for c in got.columns[1:]], 1)
-    return out[:, :k], out[:, k]
+    return out[:, :k], out[:, k], out[:, k + 1]
+
+
+@dataclass
+class _Projected:
+    """Points of documents: their rows of A times ``q``, which has a row for each term of ``place``."""
+
+    place: np.ndarray
+    q: np.ndarray
+
+    def __call__(self, ids, rows, cols, values, n):
+        at = self.place[cols]
+        on = at >= 0
+        return _spread(rows[on], at[on], values[on], self.q, n), np.ones(n)
+
+
+@dataclass
+class _Labelled:
+    """Points of labelled documents: the centroids of their subjects."""
+
+    seeds: Seeds
+    centroids: np.ndarray
+
+    def __call__(self, ids, rows, cols, values, n):
+        labels = self.seeds.of(ids)
+        return labels @ self.centroids, labels.sum(1)
 
 
-def corpus_svd(features: DataFrame, weight: np.ndarray, n_docs: int, k: int, rounds: int = SVD_ROUNDS, seed: int = 7):
+def corpus_svd(
+    features: DataFrame, weight: np.ndarray, n_docs: int, k: int, rounds: int = SVD_ROUNDS, seed: int = 7,
+    core: np.ndarray | None = None, start: np.ndarray | None = None,
+):
     """``truncated_svd`` of the weighted matrix of all documents by terms, a pass over ``features``
-    for each round; also the lengths of the matrix's columns."""
-    k = max(1, min(k, n_docs, len(weight)))
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(weight), k)))[0]
+    for each round; also the lengths of the matrix's columns. The subspace is found from the ``core`` terms (positions;
+    all of them if not given); the rows of the others are folded in: what they hold of the documents' vectors. ``start``: columns to begin with."""
+    core = np.arange(len(weight)) if core is None else core
+    place = np.full(len(weight), -1)
+    place[core] = np.arange(len(core))
+    k = max(1, min(k, n_docs, len(core)))
+    q = np.random.default_rng(seed).standard_normal((len(core), k))
+    if start is not None:
+        q[:, : min(k, start.shape[1])] = start[core][:, :k]
+        q[:, ~q.any(0)] = 1.0
+    q = np.linalg.qr(q)[0]
     for _ in range(rounds):
-        q = np.linalg.qr(_products(features, weight, q)[0])[0]
-    z, squares = _products(features, weight, q)
-    inner = q.T @ z
+        q = np.linalg.qr(_term_sums(features, weight, k, _Projected(place, q), core)[0])[0]
+    z, squares, _ = _term_sums(features, weight, k, _Projected(place, q))
+    inner = q.T @ z[core]
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
-    return q @ turn[:, ::-1], np.sqrt(np.maximum(values[::-1], 0.0)), np.sqrt(squares)
+    values, turn = np.maximum(values[::-1], 0.0), turn[:, ::-1]
+    v = (z @ turn) / np.maximum(values, 1e-12)
+    v[core] = q @ turn
+    return v, np.sqrt(values), np.sqrt(squares)
 
 
 def fit(
-    features: DataFrame, seeds: Seeds, terms: np.ndarray, g: np.ndarray, frequency: np.ndarray, n_docs: int, subjects: list[str]
-) -> Model:
+    features: DataFrame, seeds: Seeds, terms: np.ndarray, g: np.ndarray, lean: np.ndarray, frequency: np.ndarray, n_docs: int,
+    subjects: list[str], descriptions: dict[str, str] | None = None,
+) -> Model:
     """``features``: positions in ``terms`` of each document; ``frequency``: documents that hold each
     term, of ``n_docs``. Wordings that share no document with others of their subject are lost in the
     truncation; the uneven ones are folded in as the centroids of the labelled documents that hold them.
+    The seed of a subject that no labelled document has alone is what its description's terms say.
     """
     weight = (np.log((n_docs + 1.0) / (frequency + 1.0)) + 1.0) * g * g
     n_classes = seeds.shares.shape[1]
     if not len(terms) or not subjects:
         return Model(subjects, terms, np.zeros((len(terms), 1), np.float32), np.zeros((n_classes, 1), np.float32))
-    v, sigma, length = corpus_svd(features, weight, n_docs, DIMENSIONS)
+    core = np.flatnonzero(frequency >= CORE_SHARE * n_docs)
+    core = core if len(core) >= DIMENSIONS else np.arange(len(terms))
+    start = np.zeros((len(terms), min(n_classes, DIMENSIONS // 2)))
+    begun = lean < start.shape[1]
+    start[begun, lean[begun]] = g[begun]
+    v, sigma, length = corpus_svd(features, weight, n_docs, DIMENSIONS, core=core, start=start)
     vectors = v * weight[:, None]
     chosen = features.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(seeds.ids, pa.int64())}))
-    held = features.join(F.broadcast(chosen), "doc_id", "left_semi").toArrow()  # LABELLED documents or so
-    labels = seeds.of(held.column("doc_id").combine_chunks())
-    flat, lengths = _arrays(held.column("terms").combine_chunks()) if len(labels) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    rows, cols, damped, values = _weighted(flat, lengths, weight)
-    points = _unit_rows(_spread(rows, cols, damped, vectors, len(labels)))
-    only = labels == 1
-    centroids = _unit_rows(np.stack([points[only[:, c]].sum(0) for c in range(n_classes)]))
-    by_term = np.lexsort((rows, cols))
-    folded = _spread(cols[by_term], rows[by_term], values[by_term], labels @ centroids, len(terms))
-    support = np.bincount(cols, weights=labels[rows].sum(1), minlength=len(terms))
+    held = staged(features.join(F.broadcast(chosen), "doc_id", "left_semi"), "labelled")  # LABELLED documents or so
+    centroids = _unit_rows(_seed_sums(held, seeds, vectors))
+    for c in np.flatnonzero(~centroids.any(1)[: len(subjects)]):
+        at, on = _positions(terms, np.array(Terms().of((descriptions or {}).get(subjects[c]) or ""), np.int64))
+        centroids[c] = _unit_rows(vectors[at[on]].sum(0, keepdims=True))[0]
+    folded, _, support = _term_sums(held, weight, centroids.shape[1], _Labelled(seeds, centroids))
+    dropped(held)
     captured = np.linalg.norm(v * sigma, axis=1) / np.maximum(length, 1e-12)
     apart = (_unit_rows(vectors) @ centroids.T).max(1) < APART
-    lost = ((captured < CAPTURED) | apart) & (support >= TERM_DOCUMENTS) & (g >= FOLD_UNEVENNESS)
+    lost = ((captured < CAPTURED) | apart) & (support >= TERM_DOCUMENTS - 1e-6) & (g >= FOLD_UNEVENNESS)
     vectors[lost] = (_unit_rows(folded) * (weight * length / max(sigma[:n_classes].mean(), 1e-12))[:, None])[lost]
     return Model(subjects, terms, vectors.astype(np.float32), _unit_rows(centroids).astype(np.float32))
 
 
+def _seed_sums(held: DataFrame, seeds: Seeds, vectors: np.ndarray) -> np.ndarray:
+    """For each class the sum of the vectors of the documents that have its label alone."""
+    side = held.sparkSession.sparkContext.broadcast((seeds, vectors))
+    shape = seeds.shares.shape[1], vectors.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, vectors = side.value
+        sums = np.zeros(shape)
+        for batch in batches:
+            flat, lengths = _arrays(batch.column(1))
+            rows, cols, damped, _ = _weighted(flat, lengths, np.ones(len(vectors)))
+            points = _unit_rows(_spread(rows, cols, damped, vectors, len(lengths)))
+            sums += (seeds.of(batch.column(0)) == 1).astype(float).T @ points
+        yield _triples(*(x.ravel() for x in np.indices(shape)), sums.ravel())
+
+    return _summed(held.select("doc_id", "terms").mapInArrow(run, "s int, d int, x double"), shape)
+
+
+def _triples(s, d, x) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(d, pa.int32()), pa.array(x, pa.float64())], names=["s", "d", "x"])
+
+
+def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Triples of all tasks added up: a matrix of classes by dimensions."""
+    out = np.zeros(shape)
+    got = parts.groupBy("s", "d").agg(F.sum("x").alias("x")).toArrow()
+    out[got.column("s").to_numpy(), got.column("d").to_numpy()] = got.column("x").to_numpy()
+    return out
+
+
 # --- vectors of documents and units -----------------------------------------------------------
 
 
@@ -419,6 +538,14 @@ def _lists(offsets: np.ndarray, flat) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
+def _positions(known: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each number stands in ``known`` (sorted), and whether it does."""
+    if not len(known):
+        return np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    return at, known[at] == flat
+
+
 def _tokens_of(docs: DataFrame) -> DataFrame:
     """``doc_id, terms, units``: term numbers of each document, and how many each of its units has."""
 
@@ -450,8 +577,7 @@ def _positions_of(tokens: DataFrame, known: np.ndarray) -> DataFrame:
             flat, lengths = _arrays(batch.column(1))
             sizes, _ = _arrays(batch.column(2))
             doc, unit = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-            on = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            at, on = _positions(known, flat)
             at, doc, unit = at[on], doc[on], unit[on]
             last = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) if len(unit) else np.empty(0, np.int64)
             out = np.insert(at, last + 1, -1)
@@ -491,26 +617,25 @@ def _refined(features: DataFrame, model: Model) -> Model:
             best = np.where(cosine.max(1) >= DOCUMENT_COSINE, cosine.argmax(1), -1)
             for c in range(len(sums)):
                 sums[c] += points[best == c].sum(0)
-        s, d = np.indices(sums.shape)
-        columns = [pa.array(s.ravel(), pa.int32()), pa.array(d.ravel(), pa.int32()), pa.array(sums.ravel(), pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["s", "d", "x"])
-
-    parts = features.select("terms").mapInArrow(run, "s int, d int, x double")
-    sums = np.zeros(model.centroids.shape)
-    for r in parts.groupBy("s", "d").agg(F.sum("x").alias("x")).collect():  # subjects x dimensions
-        sums[r["s"], r["d"]] = r["x"]
+        yield _triples(*(x.ravel() for x in np.indices(sums.shape)), sums.ravel())
+
+    sums = _summed(features.select("terms").mapInArrow(run, "s int, d int, x double"), model.centroids.shape)
     moved = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, model.centroids)
     return Model(model.subjects, model.terms, model.vectors, _unit_rows(moved).astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame]:
     """The fitted model, and the corpus as term positions (staged)."""
-    names = [r["subject"] for r in subjects.select("subject").distinct().orderBy("subject").limit(1000).collect() if r["subject"] not in (None, NONE)]
+    told = subjects.select("subject", F.col("description") if "description" in subjects.columns else F.lit(None).alias("description"))
+    rows = told.groupBy("subject").agg(F.max("description").alias("description")).orderBy("subject").collect()  # a centroid for each is kept anyway
+    descriptions = {r["subject"]: r["description"] for r in rows if r["subject"] not in (None, NONE)}
+    names = list(descriptions)
     seeds = labelled_sample(labels, names)
     tokens = staged(_tokens_of(docs), "tokens")
-    terms, g, frequency, n_docs = choose_terms(tokens, seeds)
+    terms, g, lean, frequency, n_docs = choose_terms(tokens, seeds)
     features = staged(_positions_of(tokens, terms), "subjects")
-    model = fit(features, seeds, terms, g, frequency, n_docs, names)
+    dropped(tokens)
+    model = fit(features, seeds, terms, g, lean, frequency, n_docs, names, descriptions)
     for _ in range(CORPUS_ROUNDS if names else 0):
         model = _refined(features, model)
     return model, features

@@ -125,3 +125,26 @@ def test_svd_over_the_corpus(spark):
     _, s0, v0 = np.linalg.svd(dense, full_matrices=False)
     assert np.allclose(s, s0[:4], rtol=1e-3) and np.allclose(np.abs((v * v0[:4].T).sum(0)), 1, atol=2e-2)
     assert np.allclose(length, np.linalg.norm(dense, axis=0))
+
+
+def test_more_than_a_thousand_subjects(spark):
+    """Every subject counts, however many there are."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    docs = [(i, f"tidy\n\ndiff --git a/x b/x\n+value of q{word(i % 1200)}q here\n+and q{word(i % 1200)}q again") for i in range(6000)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    l = spark.createDataFrame([(i, f"s{i % 1200}") for i in range(6000)], "doc_id bigint, subject string")
+    s = spark.createDataFrame([(f"s{i}", None) for i in range(1200)], "subject string, description string")
+    model, _ = su.train(d, l, s)
+    assert len(model.subjects) == 1200 and model.centroids.any(1)[:1200].all()
+
+
+def test_subjects_without_labels_start_from_their_description(spark):
+    docs, truth = corpus(400)
+    labels = [(i, s) for i in range(200) for s in truth[i] if "music" not in truth[i]]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    l = spark.createDataFrame(labels, "doc_id bigint, subject string")
+    s = spark.createDataFrame([("law", None), ("sport", ""), ("music", " ".join(WORDS["music"]))], "subject string, description string")
+    model, _ = su.train(d, l, s)
+    assert model.subjects == ["law", "music", "sport"]
+    music = [x for x in WORDS["music"] if su.Terms().of(x)[0] in model.terms]
+    assert bool(music) == bool(model.centroids[1].any())
