@@ -12,10 +12,13 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
-from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from starloom.sources.shared import staged
 
 #: Bins of light keys for each task. More bins pack more evenly.
 BINS_PER_TASK = 16
@@ -37,49 +40,56 @@ def heavy_keys(loads: DataFrame, share: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Placement:
-    """Where rows go. ``shards`` maps each heavy key to the tasks of its shards, in order; ``bins``
-    gives the task of each bin of light keys; ``planned`` the rows that each task gets."""
+    """Where rows go. ``bins`` gives the task of each bin of light keys; ``shards`` maps each heavy key, null may
+    be one, to the tasks of its shards, in order; ``loads`` has the rows of each heavy key, ``planned`` those that each task
+    gets. ``key_type`` is the key's type."""
 
     tasks: int
     bins: list[int]
     shards: dict
+    loads: dict
     planned: list[int]
+    key_type: T.DataType
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """``__bin, __bin_task`` and ``__heavy, __shards``: tasks x BINS_PER_TASK rows and at most tasks / HEAVY_SHARE or so.
+        As tables the placement doesn't make the plan grow with the tasks."""
+        bins = spark.createDataFrame(pa.table({"__bin": pa.array(range(len(self.bins)), pa.int32()), "__bin_task": pa.array(self.bins, pa.int32())}))
+        schema = T.StructType([T.StructField("__heavy", self.key_type), T.StructField("__shards", T.ArrayType(T.IntegerType()))])
+        return bins, spark.createDataFrame(list(self.shards.items()), schema)
+
+    def _beside(self, df: DataFrame, key: Column) -> DataFrame:
+        bins, heavy = self.tables(df.sparkSession)
+        out = df.join(F.broadcast(heavy), key.eqNullSafe(F.col("__heavy")), "left") if self.shards else df.withColumn("__shards", F.lit(None).cast("array<int>"))
+        return out.join(F.broadcast(bins), bin_of(key, len(self.bins)) == F.col("__bin"))
 
-    def _bin(self, key: Column) -> Column:
-        table = F.array(*[F.lit(t) for t in self.bins])
-        return F.element_at(table, (F.pmod(F.xxhash64(key), F.lit(len(self.bins))) + 1).cast("int"))
+    def placed(self, df: DataFrame, key: str, spread: Column) -> DataFrame:
+        """Adds the task of each row; ``spread`` is a hash that differs between rows of one key."""
+        shard = F.element_at("__shards", (F.pmod(spread, F.size("__shards")) + 1).cast("int"))
+        task = F.when(F.col("__shards").isNotNull(), shard).otherwise(F.col("__bin_task")).cast("int")
+        return self._beside(df, F.col(key)).withColumn(TASK, task).drop("__heavy", "__shards", "__bin", "__bin_task")
 
-    def _map(self, key: Column) -> Column:
-        items = chain.from_iterable((F.lit(k), F.array(*[F.lit(t) for t in v])) for k, v in self.shards.items())
-        return F.element_at(F.create_map(*items), key)
+    def replicated(self, df: DataFrame, key: str, task: str) -> DataFrame:
+        """Each row once for every task that may hold rows of its key, in a column ``task``."""
+        tasks = F.when(F.col("__shards").isNotNull(), F.array_distinct("__shards")).otherwise(F.array("__bin_task"))
+        return self._beside(df, F.col(key)).withColumn(task, F.explode(tasks)).drop("__heavy", "__shards", "__bin", "__bin_task")
 
-    def task_of_row(self, key: Column, spread: Column) -> Column:
-        """Task of a row; ``spread`` is a hash that differs between rows of one key."""
-        if not self.shards:
-            return self._bin(key)
-        own = self._map(key)
-        shard = F.element_at(own, (F.pmod(spread, F.size(own)) + 1).cast("int"))
-        return F.when(key.isNotNull() & own.isNotNull(), shard).otherwise(self._bin(key))
 
-    def tasks_of_key(self, key: Column) -> Column:
-        """All tasks that may hold rows of a key."""
-        one = F.array(self._bin(key))
-        if not self.shards:
-            return one
-        own = self._map(key)
-        return F.when(key.isNotNull() & own.isNotNull(), F.array_distinct(own)).otherwise(one)
+def bin_of(key: Column, bins: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bins)).cast("int")
 
 
-def plan_placement(loads: DataFrame, key: str, tasks: int) -> Placement:
+def plan_placement(loads: DataFrame, key: str, tasks: int, share: float = 1.0) -> Placement:
     """Packs keys onto tasks. What reaches the driver doesn't grow with the keys: a sum for each of
-    tasks x BINS_PER_TASK bins and at most tasks / HEAVY_SHARE heavy keys. A heavy null key shares
-    its bin: nulls match nothing in a join, and per-key results combine partial ones."""
+    tasks x BINS_PER_TASK bins and at most tasks / HEAVY_SHARE heavy keys (1 / ``share`` of them if that is
+    more, since keys of that share of all rows count as heavy in any case). A null key is split like any other."""
     bins = tasks * BINS_PER_TASK
-    binned = loads.withColumn("__bin", F.pmod(F.xxhash64(F.col(key)), F.lit(bins)).cast("int"))
+    binned = staged(loads.select(F.col(key), "n_rows", bin_of(F.col(key), bins).alias("__bin")), "loads")
     by_bin = {r["__bin"]: r["n"] for r in binned.groupBy("__bin").agg(F.sum("n_rows").alias("n")).collect()}
-    limit = max(1, math.ceil(HEAVY_SHARE * sum(by_bin.values()) / tasks))
+    total = sum(by_bin.values())
+    limit = max(1, min(math.ceil(HEAVY_SHARE * total / tasks), math.ceil(share * total)))
     heavy = {}
-    for r in binned.filter((F.col("n_rows") >= limit) & F.col(key).isNotNull()).collect():
+    for r in binned.filter(F.col("n_rows") >= limit).collect():
         heavy[r[key]] = r["n_rows"]
         by_bin[r["__bin"]] -= r["n_rows"]
 
@@ -99,7 +109,16 @@ def plan_placement(loads: DataFrame, key: str, tasks: int) -> Placement:
             where[name] = t
         else:
             shards.setdefault(name, []).append(t)
-    return Placement(tasks, [where[b] for b in range(bins)], shards, planned)
+    return Placement(tasks, [where[b] for b in range(bins)], shards, heavy, planned, loads.schema[key].dataType)
+
+
+def split_keys(spark: SparkSession, placement: Placement, key: str, share: float) -> DataFrame:
+    """``<key>, n_rows, n_tasks``: the keys that the placement splits and that hold at least ``share`` of all rows, with
+    the tasks they are split over. The placement must have been planned with that share or a smaller one."""
+    total = sum(placement.planned)
+    rows = [(k, n, len(set(placement.shards[k]))) for k, n in placement.loads.items() if n >= share * total]
+    schema = T.StructType([T.StructField(key, placement.key_type), T.StructField("n_rows", T.LongType()), T.StructField("n_tasks", T.IntegerType())])
+    return spark.createDataFrame(rows, schema)
 
 
 def spread_of(df: DataFrame) -> Column:
@@ -108,10 +127,10 @@ def spread_of(df: DataFrame) -> Column:
 
 
 def balanced(df: DataFrame, key: str, tasks: int, placement: Placement | None = None, spread: Column | None = None) -> DataFrame:
-    """``df`` in ``tasks`` partitions of even size, light keys whole, heavy keys in shards; adds ``__task``."""
+    """``df`` in ``tasks`` partitions of even size, light keys whole, heavy keys in shards; adds ``__task``.
+    Columns named ``__task``, ``__bin``, ``__bin_task``, ``__heavy`` or ``__shards`` are the operator's own."""
     placement = placement or plan_placement(key_loads(df, key), key, tasks)
-    rows = df.withColumn(TASK, placement.task_of_row(F.col(key), spread_of(df) if spread is None else spread).cast("int"))
-    return rows.repartitionById(placement.tasks, TASK)
+    return placement.placed(df, key, spread_of(df) if spread is None else spread).repartitionById(placement.tasks, TASK)
 
 
 def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], tasks: int, how: str = "left", spread: Column | None = None) -> DataFrame:
@@ -129,8 +148,7 @@ def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], tasks: int,
     new = {c: f"__r_{c}" if c in keys else f"right_{c}" if c.lower() in taken else c for c in small.columns}
     named = small.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()])
     named = named.filter(" and ".join(f"`__r_{k}` is not null" for k in keys))
-    right = named.withColumn("__r_task", F.explode(placement.tasks_of_key(F.col(f"__r_{uneven}")).cast("array<int>")))
-    right = right.repartitionById(tasks, "__r_task")
+    right = placement.replicated(named, f"__r_{uneven}", "__r_task").repartitionById(tasks, "__r_task")
     on = F.col(TASK) == F.col("__r_task")
     for k in keys:
         on = on & (F.col(k) == F.col(f"__r_{k}"))

@@ -1,34 +1,29 @@
 """Processing only new or changed records.
 
-A table is a series of immutable versions. A version's manifest lists its data files and the
-deletion vectors of rows that left them. The difference of two manifests is a record delta:
-
-* files only in the newer manifest, minus their deletion vectors: inserts,
-* files only in the older one, minus theirs: deletes,
-* files in both: rows in just one of the two deletion vectors.
-
-A consumer stores, in the very commit that publishes its output, which version it processed. A
-run that dies before the commit leaves neither output nor version behind, so the next run
-processes the same delta again; a run that dies after it has nothing left to do.
-
-The same difference is taken where a log of load runs stands for the manifests: there a "file" is
-a unit of the log (a shard), positions are arrival times, and the windows of the runs that held
-are the deletion vectors of what is left to process (``uncovered``).
+A table is a series of immutable versions (``starloom.sources.versions``), and the difference of two
+manifests is a record delta. A consumer stores, in the very commit that publishes its output, which
+version it processed (``process_new``). A run that dies before the commit leaves neither output nor
+version behind, so the next run processes the same delta again; a run that dies after it has nothing
+left to do.
+
+Where a log of load runs tells what was processed (``process_sessions``), the log is turned into a
+version: the data files as they are, with deletion vectors that hide what no run that held has read.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
-
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.functions.exprs import epoch_seconds, row_hash
+from starloom.sources.shared import staged
+from starloom.sources.versions import CommitConflict, Difference, Manifest, VersionedTable, difference, process_new
+
+__all__ = [
+    "CommitConflict", "Difference", "Manifest", "VersionedTable", "difference", "held_runs", "mark_covered", "merged_ranges", "micros",
+    "pending_sessions", "process_new", "process_sessions", "unprocessed_sessions",
+]
 
 #: Most merged ranges that are broadcast (some 100 bytes each in a hash table, so about 10 MB); more
 #: go through a shuffle.
@@ -104,18 +99,10 @@ def held_runs(log: DataFrame) -> DataFrame:
 HOUR_MICROS = 3_600_000_000
 
 
-def unprocessed_sessions(events: DataFrame, log: DataFrame, shards: int = 4) -> DataFrame:
-    """``session_id, publisher_id, created_at_minute_id``: every session still to be processed, once.
-
-    A delivery was read if it arrived in the window of a run that held, of its publisher's shard.
-    A session is left to process if no delivery that was read equals its newest one in all columns
-    but the arrival (which says that the newest itself wasn't read). Publisher and minute are those
-    of the newest delivery; of several newest ones at one instant an unread one counts, then the
-    larger by content hash. Deliveries without id or arrival are no sessions. Equality is that of
-    two 64-bit hashes over all columns. Extra columns count as content.
-    """
+def _deliveries(events: DataFrame) -> DataFrame:
+    """``session_id, publisher_id, minute, arrived, h1, h2`` of deliveries that have an id and an arrival."""
     content = [F.col(f"`{c}`") for c in events.columns if c != "arrived_at"]
-    rows = events.filter(F.col("id").isNotNull() & F.col("arrived_at").isNotNull()).select(
+    return events.filter(F.col("id").isNotNull() & F.col("arrived_at").isNotNull()).select(
         F.col("id").alias("session_id"),
         F.col("publisher_id"),
         F.floor(epoch_seconds(F.col("created_at")) / F.lit(60)).cast("bigint").alias("minute"),
@@ -123,10 +110,17 @@ def unprocessed_sessions(events: DataFrame, log: DataFrame, shards: int = 4) ->
         row_hash(content, 1).alias("h1"),
         row_hash(content, 2).alias("h2"),
     )
-    processed = merged_ranges(held_runs(log), "unit", "lo", "hi", HOUR_MICROS)
-    rows = mark_covered(rows, F.pmod(F.col("publisher_id"), F.lit(shards)), F.col("arrived"), processed, HOUR_MICROS, "was_read")
+
+
+def _covered_by_runs(df: DataFrame, log: DataFrame, shards: int, publisher: str, arrived: Column, flag: str) -> DataFrame:
+    processed = staged(merged_ranges(held_runs(log), "unit", "lo", "hi", HOUR_MICROS), "runs")
+    return mark_covered(df, F.pmod(F.col(publisher), F.lit(shards)), arrived, processed, HOUR_MICROS, flag)
+
+
+def _left_to_process(deliveries: DataFrame) -> DataFrame:
+    """Sessions whose newest delivery is one that no delivery that ``was_read`` equals."""
     # one row for each content of a session: repeats disappear before the shuffle
-    contents = rows.groupBy("session_id", "h1", "h2").agg(
+    contents = deliveries.groupBy("session_id", "h1", "h2").agg(
         F.max("arrived").alias("arrived"),
         F.max(F.col("was_read").cast("int")).alias("was_read"),
         F.max("publisher_id").alias("publisher_id"),
@@ -140,175 +134,62 @@ def unprocessed_sessions(events: DataFrame, log: DataFrame, shards: int = 4) ->
     )
 
 
-# --- versioned tables -------------------------------------------------------------------
-
-
-class CommitConflict(RuntimeError):
-    pass
-
-
-@dataclass(frozen=True)
-class Manifest:
-    """One immutable version. ``files`` maps each data file to its row count; ``vectors`` names the
-    table of deletion vectors (``file, lo, hi``: row positions that left), if there are any."""
-
-    version: int
-    files: dict[str, int] = field(default_factory=dict)
-    vectors: str | None = None
-    properties: dict[str, str] = field(default_factory=dict)
+def unprocessed_sessions(events: DataFrame, log: DataFrame, shards: int = 4) -> DataFrame:
+    """``session_id, publisher_id, created_at_minute_id``: every session still to be processed, once.
 
+    A delivery was read if it arrived in the window of a run that held, of its publisher's shard.
+    A session is left to process if no delivery that was read equals its newest one in all columns
+    but the arrival (which says that the newest itself wasn't read). Publisher and minute are those
+    of the newest delivery; of several newest ones at one instant an unread one counts, then the
+    larger by content hash. Deliveries without id or arrival are no sessions. Equality is that of
+    two 64-bit hashes over all columns. Extra columns count as content.
 
-@dataclass(frozen=True)
-class Difference:
-    added: list[str]
-    removed: list[str]
-    kept: list[str]
+    For rows that are no files; ``process_sessions`` gives the same for files, by their versions.
+    """
+    return _left_to_process(_covered_by_runs(_deliveries(events), log, shards, "publisher_id", F.col("arrived"), "was_read"))
 
 
-def difference(old: Manifest, new: Manifest) -> Difference:
-    """Files by what became of them. Kept files matter only if the deletion vectors differ."""
-    kept = [f for f in new.files if f in old.files] if old.vectors != new.vectors else []
-    return Difference([f for f in new.files if f not in old.files], [f for f in old.files if f not in new.files], kept)
+#: Most sessions with unread deliveries that are broadcast (as 64-bit hashes, some 40 bytes each, so
+#: 40 MB) to find the deliveries of theirs that were read; more go through a shuffle.
+BROADCAST_SESSIONS = 1_000_000
 
 
-class VersionedTable:
-    """Parquet files under ``root/data`` with manifests ``root/versions/<n>.json``.
+def process_sessions(events: DataFrame, log: DataFrame, root: str, shards: int = 4) -> VersionedTable:
+    """The rows of ``unprocessed_sessions`` as a table with versions under ``root``, whose commit says how far
+    the deliveries were processed. ``events`` are parquet files, which stay where they are.
 
-    A commit creates the next manifest file, which exactly one writer can do; whoever comes second
-    gets CommitConflict and starts over from the new version. Files without a manifest are never read.
+    Version 1 of the deliveries is what the runs that held have read: the files, with deletion vectors that
+    hide the other rows. Version 2 has all rows. The delta between them are the unread deliveries; only
+    files that hold any are read for it. Of the deliveries that were read only those of the same sessions are looked at.
+    A second call for the same ``root`` finds the commit and does nothing.
     """
-
-    SLICE = 65_536  # row positions
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def latest(self) -> Manifest:
-        """The newest version; version 0 is the empty table."""
-        fs, folder = self._fs(), self._path("versions")
-        if not fs.exists(folder):
-            return Manifest(0)
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        return self.at(max(numbers, default=0))
-
-    def at(self, version: int) -> Manifest:
-        if version == 0:
-            return Manifest(0)
-        stream = self._fs().open(self._path(f"versions/{version}.json"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Manifest(**json.loads(text))
-
-    def _commit(self, manifest: Manifest) -> Manifest:
-        fs, target = self._fs(), self._path(f"versions/{manifest.version}.json")
-        part = self._path(f"versions/_{uuid.uuid4().hex}")
-        stream = fs.create(part, False)
-        stream.write(bytearray(json.dumps(asdict(manifest)).encode()))
-        stream.close()
-        # written whole under another name first: a reader never sees half a manifest. This rename
-        # refuses to replace a file, so of two writers one fails
-        sc = self.spark.sparkContext
-        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
-        refuse = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(part, target, refuse)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in str(e.java_exception):
-                raise
-            raise CommitConflict(f"version {manifest.version} of {self.root} exists already") from None
-        finally:
-            if fs.exists(part):
-                fs.delete(part, False)
-        return manifest
-
-    def _write(self, df: DataFrame) -> dict[str, int]:
-        folder = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
-        written = self.spark.read.parquet(f"{self.root}/{folder}")
-        counts = written.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n"))
-        return {f"{folder}/{r.f}": r.n for r in counts.collect()}  # one row for each file
-
-    def append(self, df: DataFrame, properties: dict[str, str] | None = None, base: Manifest | None = None) -> Manifest:
-        base = base or self.latest()
-        files = self._write(df)
-        return self._commit(Manifest(base.version + 1, base.files | files, base.vectors, base.properties | (properties or {})))
-
-    def replace_files(self, gone: list[str], df: DataFrame | None = None) -> Manifest:
-        """Rewrites files: ``gone`` leave the table, the rows of ``df`` enter it."""
-        base = self.latest()
-        files = {f: n for f, n in base.files.items() if f not in set(gone)}
-        return self._commit(Manifest(base.version + 1, files | (self._write(df) if df is not None else {}), base.vectors, base.properties))
-
-    def delete_where(self, condition: Column) -> Manifest:
-        """Marks rows as gone in deletion vectors; data files stay as they are."""
-        base = self.latest()
-        rows = self._rows(list(base.files)).filter(condition).select("__file", F.col("__row").alias("lo"), (F.col("__row") + 1).alias("hi"))
-        if base.vectors:
-            rows = rows.unionByName(self._vectors(base).select("__file", "lo", "hi"))
-        name = f"vectors/{uuid.uuid4().hex}"
-        merged = merged_ranges(rows, "__file", "lo", "hi", self.SLICE)
-        merged.select(F.col("unit").alias("__file"), "lo", "hi").write.parquet(f"{self.root}/{name}")
-        return self._commit(Manifest(base.version + 1, base.files, name, base.properties))
-
-    def _rows(self, files: list[str]) -> DataFrame:
-        """Rows of data files with ``__file`` and their position ``__row``."""
-        df = self.spark.read.parquet(*[f"{self.root}/{f}" for f in files])
-        path = F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)
-        return df.select("*", F.concat(F.lit("data/"), path).alias("__file"), F.col("_metadata.row_index").alias("__row"))
-
-    def _vectors(self, manifest: Manifest) -> DataFrame:
-        if manifest.vectors:
-            return self.spark.read.parquet(f"{self.root}/{manifest.vectors}")
-        return self.spark.createDataFrame([], "__file string, lo bigint, hi bigint")
-
-    def _gone(self, rows: DataFrame, manifest: Manifest, flag: str) -> DataFrame:
-        if not manifest.vectors:
-            return rows.withColumn(flag, F.lit(False))
-        ranges = merged_ranges(self._vectors(manifest), "__file", "lo", "hi", self.SLICE)
-        return mark_covered(rows, F.col("__file"), F.col("__row"), ranges, self.SLICE, flag)
-
-    def read(self, manifest: Manifest | None = None) -> DataFrame | None:
-        """The table as of a version; None if it has no file."""
-        manifest = manifest or self.latest()
-        if not manifest.files:
-            return None
-        return self._gone(self._rows(list(manifest.files)), manifest, "__gone").filter("not __gone").drop("__gone", "__file", "__row")
-
-    def delta(self, old: Manifest, new: Manifest) -> DataFrame | None:
-        """Rows that differ between two versions, ``_change`` saying insert or delete; None if no file differs."""
-        d = difference(old, new)
-        files = d.added + d.removed + d.kept
-        if not files:
-            return None
-        rows = self._gone(self._gone(self._rows(files), old, "__gone_old"), new, "__gone_new")
-        if d.added:
-            rows = rows.withColumn("__gone_old", F.col("__gone_old") | F.col("__file").isin(d.added))
-        if d.removed:
-            rows = rows.withColumn("__gone_new", F.col("__gone_new") | F.col("__file").isin(d.removed))
-        changed = rows.filter("__gone_old <> __gone_new")
-        change = F.when(F.col("__gone_old"), "insert").otherwise("delete")
-        return changed.withColumn("_change", change).drop("__gone_old", "__gone_new", "__file", "__row")
-
-
-def process_new(source: VersionedTable, sink: VersionedTable, name: str, transform: Callable[[DataFrame], DataFrame]) -> Manifest:
-    """Runs ``transform`` over the source's record delta since the last successful run called ``name``
-    and appends its result. Output and processed version become visible in one commit."""
-    base = sink.latest()
-    done = int(base.properties.get(f"processed.{name}", 0))
-    target = source.latest()
-    if target.version == done:
-        return base
-    delta = source.delta(source.at(done), target)
-    mark = {f"processed.{name}": str(target.version)}
-    if delta is None:
-        return sink._commit(Manifest(base.version + 1, base.files, base.vectors, base.properties | mark))
-    return sink.append(transform(delta), mark, base)
+    spark = events.sparkSession
+    source, sink = VersionedTable(spark, f"{root}/deliveries"), VersionedTable(spark, f"{root}/pending")
+    if not source.latest().version:
+        unread = lambda rows: _covered_by_runs(rows, log, shards, "publisher_id", micros(F.col("arrived_at")), "__read").filter("not __read")
+        source.adopt(events.inputFiles(), unread)
+    if not sink.latest().version:
+        sink.write(properties={"processed.sessions": "1"})
+    if source.latest().version == 1:
+        source.restore()
+    read = source.read(source.at(1))
+
+    def pending(delta: DataFrame) -> DataFrame:
+        unread = staged(_deliveries(delta.filter("_change = 'insert'").drop("_change")), "unread")
+        sessions = unread.select(F.xxhash64("session_id").alias("__session")).distinct()
+        small = sessions.limit(BROADCAST_SESSIONS + 1).count() <= BROADCAST_SESSIONS
+        known = read.join(F.broadcast(sessions) if small else sessions, F.xxhash64("id") == F.col("__session"), "left_semi")
+        rows = unread.withColumn("was_read", F.lit(False)).unionByName(_deliveries(known).withColumn("was_read", F.lit(True)))
+        return _left_to_process(rows)
+
+    process_new(source, sink, "sessions", pending)
+    return sink
+
+
+_PENDING = "session_id string, publisher_id int, created_at_minute_id bigint"
+
+
+def pending_sessions(sink: VersionedTable) -> DataFrame:
+    """What ``process_sessions`` has committed; empty if nothing was left to process."""
+    rows = sink.read()
+    return sink.spark.createDataFrame([], _PENDING) if rows is None else rows

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from starloom.functions.exprs import all_equal, any_not_null, in_window, with_default
 from starloom.plans import derive
 from starloom.plans import model as m
+from starloom.sources.shared import staged
+
+#: Rows of a dimension that one task numbers; more are numbered range by range.
+ONE_TASK = 2_000_000
 
 Tables = Callable[[str], DataFrame]
 
@@ -37,8 +41,7 @@ def assign_ids(values: DataFrame, id_column: str, after: Column | None = None) -
     """Ids in the order of all columns, counted from 1 or from behind ``after`` (a scalar subquery or a
     literal). The order, and so the id, doesn't depend on partitioning.
 
-    The numbering runs in one task: it is meant for dimensions, whose rows are few beside the
-    facts. ``assign_ids_ranged`` numbers large ones in parallel.
+    The numbering runs in one task: see ``with_ids``.
     """
     columns = values.columns
     number = F.row_number().over(W.orderBy(*columns))
@@ -64,9 +67,19 @@ def assign_ids_ranged(
     return rows.select((id_value if after is None else id_value + after).cast("int").alias(id_column), *columns)
 
 
+def with_ids(values: DataFrame, id_column: str, after: Column | None = None, one_task: int | None = None) -> DataFrame:
+    """``values`` with ids, numbered in one task if their counted number is within ONE_TASK, else range by range.
+    Both give the same ids."""
+    values = staged(values, "dimension")
+    limit = ONE_TASK if one_task is None else one_task
+    if values.limit(limit + 1).count() > limit:
+        return assign_ids_ranged(values, id_column, staged, after)
+    return assign_ids(values, id_column, after)
+
+
 def dimension_full(env: m.Env, fact: m.Fact, dim: str, source: DataFrame, end) -> DataFrame:
     """All values up to ``end``, with ids."""
-    return assign_ids(dimension_values(env, fact, dim, source, end), env.settings.dim_id_column)
+    return with_ids(dimension_values(env, fact, dim, source, end), env.settings.dim_id_column)
 
 
 def dimension_increment(env: m.Env, fact: m.Fact, dim: str, source: DataFrame, existing: DataFrame, end, start) -> DataFrame:
@@ -75,4 +88,4 @@ def dimension_increment(env: m.Env, fact: m.Fact, dim: str, source: DataFrame, e
     values = dimension_values(env, fact, dim, source, end, start)
     known = existing.select(*[F.col(c).alias(f"__known_{c}") for c in values.columns])
     new = values.join(known, all_equal([(F.col(c), F.col(f"__known_{c}")) for c in values.columns]), "left_anti")
-    return assign_ids(new, id_column, existing.agg(F.coalesce(F.max(id_column), F.lit(0))).scalar())
+    return with_ids(new, id_column, existing.agg(F.coalesce(F.max(id_column), F.lit(0))).scalar())

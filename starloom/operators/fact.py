@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -173,29 +175,44 @@ def merge_facts(env: m.Env, fact: m.Fact, *parts: DataFrame) -> DataFrame:
     s, target = env.settings, derive.fact_table(env, fact)
     keys = list(target.constraints[0].columns)
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    how: dict[str, Column] = {}
-    sketches = [c.column for c in fact.of_kind(m.FactCountDistinct)]
+    how: dict[str, Callable[[str], Column]] = {}
     for c in fact.columns:
         match c:
             case m.FactCount() | m.FactSum():
-                how[c.column] = F.sum(c.column)
+                how[c.column] = F.sum
             case m.FactAverage():
-                for n in (c.column + s.avg_count_suffix, c.column + s.avg_sum_suffix):
-                    how[n] = F.sum(n)
+                how |= dict.fromkeys((c.column + s.avg_count_suffix, c.column + s.avg_sum_suffix), F.sum)
             case m.FactMax():
-                how[c.column] = F.max(c.column)
+                how[c.column] = F.max
             case m.FactMin():
-                how[c.column] = F.min(c.column)
-    out = rows.groupBy(*keys).agg(*[e.alias(n) for n, e in how.items()]) if how else rows.select(*keys).distinct()
-    for name in sketches:
-        merged = sk.merge_sketches(rows, keys, name)
-        out = out.join(merged, keys, "left")
+                how[c.column] = F.min
+    sketches = [c.column for c in fact.of_kind(m.FactCountDistinct)]
+    if sketches:
+        # one pass for all: the registers of each sketch under its number, the measures under -1
+        registers = [
+            F.transform(
+                F.map_entries(F.coalesce(sk.parse_registers(F.col(n)), F.create_map().cast("map<string,int>"))),
+                lambda e, i=i: F.struct(F.lit(i).alias("sketch"), e["key"].alias("bucket"), e["value"].alias("rho")),
+            )
+            for i, n in enumerate(sketches)
+        ]
+        none = F.struct(F.lit(-1).alias("sketch"), F.lit(None).cast("string").alias("bucket"), F.lit(None).cast("int").alias("rho"))
+        rows = rows.select(*keys, *how, F.explode(F.concat(F.array(none), *registers)).alias("__r"))
+        rows = rows.withColumns({n: F.when(F.col("__r.sketch") < 0, F.col(n)) for n in how})
+        rows = rows.groupBy(*keys, "__r.sketch", "__r.bucket").agg(*[f(n).alias(n) for n, f in how.items()], F.max("__r.rho").alias("__rho"))
+    own = [F.when(F.col("sketch") == i, F.col("bucket")) for i in range(len(sketches))]
+    jsons = [sk.registers_json(b, F.col("__rho")).alias(n) for b, n in zip(own, sketches)]
+    measures = [f(n).alias(n) for n, f in how.items()] + jsons
+    out = rows.groupBy(*keys).agg(*measures) if measures else rows.select(*keys).distinct()
     types = {c.name: spark_type(c.type) for c in target.columns}
     return out.select(*[F.col(c.name).cast(types[c.name]).alias(c.name) for c in target.columns])
 
 
+def bucket_of(bound: datetime, unit: m.TimeUnit) -> int:
+    """Number of the bucket that a bound (datetime without zone) lies in."""
+    return int((bound - datetime(1970, 1, 1)).total_seconds() // unit.value)
+
+
 def aligned(bound, unit: m.TimeUnit) -> bool:
     """Whether a bound (datetime without zone) lies on a bucket border of the unit."""
-    from datetime import datetime
-
     return (bound - datetime(1970, 1, 1)).total_seconds() % unit.value == 0

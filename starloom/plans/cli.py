@@ -54,9 +54,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sources", help="folder of the source tables")
     p.add_argument("--start", type=datetime.fromisoformat)
     p.add_argument("--end", type=datetime.fromisoformat)
+    p.add_argument("--merge", action="store_true", help="incremental windows may cut buckets")
     return p
 
 
+def parsed(argv: list[str] | None) -> argparse.Namespace:
+    p = parser()
+    args = p.parse_args(argv)
+    if args.refresh and args.end is None:
+        p.error("--refresh needs --end")
+    if args.refresh == "incremental" and args.start is None:
+        p.error("--refresh incremental needs --start")
+    if args.merge and args.refresh != "incremental":
+        p.error("--merge goes with --refresh incremental")
+    return args
+
+
 def settings_of(args: argparse.Namespace) -> m.Settings:
     fields = {name: getattr(args, name) for name, _ in _OPTIONS.values()}
     return m.Settings(time_unit=m.TimeUnit[args.timeunit.upper()], **fields)
@@ -90,7 +103,7 @@ def write_files(env: m.Env, output: Path) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    args = parsed(argv)
     try:
         tables, facts, defaults = read_spec(args.input)
         env = make_env(tables, facts, settings_of(args), defaults)
@@ -107,14 +120,18 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from starloom.plans.build import full_refresh, incremental_refresh
+    from starloom.plans.build import OverlappingWindow, UnalignedWindow, full_refresh, incremental_refresh
     from starloom.sources.store import TableStore
 
     store = TableStore(SparkSession.builder.getOrCreate(), str(output), args.sources)
     if args.refresh == "full":
         full_refresh(env, store, args.end)
-    else:
-        incremental_refresh(env, store, args.end, args.start)
+        return 0
+    try:
+        incremental_refresh(env, store, args.end, args.start, args.merge)
+    except (UnalignedWindow, OverlappingWindow) as e:
+        print(e, file=sys.stderr)
+        return 1
     return 0
 
 

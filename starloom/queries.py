@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from starloom.functions import sketch as sk
 from starloom.functions.exprs import time_bucket, time_literal
-from starloom.operators.balance import balanced_join, heavy_keys, key_loads
-from starloom.operators.changes import VersionedTable, unprocessed_sessions
+from starloom.operators.balance import balanced_join, key_loads, plan_placement, split_keys
+from starloom.operators.changes import VersionedTable, pending_sessions, process_new, process_sessions
 from starloom.operators.dimension import dimension_full, dimension_increment
 from starloom.operators.fact import load_fact, merge_facts
 from starloom.operators.orphans import dimension_orphans, orphan_counts, orphan_references
@@ -23,7 +24,7 @@ from starloom.operators.rolling import idle_days, rolling_totals
 from starloom.plans import build, ddl, derive
 from starloom.plans import model as m
 from starloom.plans.validate import make_env
-from starloom.sources.shared import shared_folder
+from starloom.sources.shared import removed_at_end, shared_folder
 from starloom.sources.spec import parse_spec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,8 +632,14 @@ _PENDING = f"""held as (select distinct shard, read_from, read_upto from (
  from (select *, row_number() over (partition by id order by arrived desc) as n from v) where n = 1 and not was_read)"""
 
 
+def _scratch(spark, name: str) -> str:
+    """A folder of its own in the shared folder, removed when the session ends."""
+    return removed_at_end(spark, f"{shared_folder(spark).rstrip('/')}/starloom/{name}-{uuid.uuid4().hex}")
+
+
 def _pending(spark, folder) -> DataFrame:
-    return unprocessed_sessions(table(spark, folder, "session_events"), table(spark, folder, "load_runs"))
+    sink = process_sessions(table(spark, folder, "session_events"), table(spark, folder, "load_runs"), _scratch(spark, "sessions"))
+    return pending_sessions(sink)
 
 
 @query("p1_found", f"with {_PENDING} select * from pending")
@@ -659,16 +666,43 @@ _V1, _V2 = "2024-01-20 00:00:00", "2024-01-25 00:00:00"
  where later <> gone group by 1, 2""",
 )
 def _(spark, folder):
-    """Deliveries as a versioned table: one load, a second one, a deletion; what changed since the first."""
+    """Deliveries as a versioned table: one load, a second one, a deletion, a rewrite; what changed since the first."""
     events = table(spark, folder, "session_events").select("id", "publisher_id", "arrived_at")
-    versions = VersionedTable(spark, f"{shared_folder(spark)}/starloom/versions-{uuid.uuid4().hex}")
+    versions = VersionedTable(spark, _scratch(spark, "versions"))
     first = versions.append(events.filter(~(F.col("arrived_at") >= time_literal(_V1))))
     versions.append(events.filter(F.col("arrived_at") >= time_literal(_V1)))
-    last = versions.delete_where((F.col("publisher_id") % 10 == 3) & (F.col("arrived_at") < time_literal(_V2)))
+    versions.delete_where((F.col("publisher_id") % 10 == 3) & (F.col("arrived_at") < time_literal(_V2)))
+    last = versions.compact()
     delta = versions.delta(first, last)
     return delta.groupBy(F.col("_change").alias("change"), "publisher_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query(
+    "p1_process_new",
+    f"select publisher_id, count(*) as n_rows from session_events where arrived_at < timestamp '{_V2}' group by 1",
+)
+def _(spark, folder):
+    """A job over a growing table that is run after each load, dies once before its commit and is run again too often:
+    every record of both loads once."""
+    events = table(spark, folder, "session_events").select("publisher_id", "arrived_at")
+    source, sink = VersionedTable(spark, _scratch(spark, "in")), VersionedTable(spark, _scratch(spark, "out"))
+    inserted = lambda delta: delta.filter("_change = 'insert'").select("publisher_id")
+    source.append(events.filter(~(F.col("arrived_at") >= time_literal(_V1))))
+    process_new(source, sink, "job", inserted)
+    source.append(events.filter((F.col("arrived_at") >= time_literal(_V1)) & (F.col("arrived_at") < time_literal(_V2))))
+
+    def lost(delta: DataFrame) -> DataFrame:
+        inserted(delta).write.parquet(_scratch(spark, "died"))  # output that no commit names
+        raise InterruptedError
+
+    with suppress(InterruptedError):
+        process_new(source, sink, "job", lost)
+    source.compact()
+    for _ in range(2):
+        process_new(source, sink, "job", inserted)
+    return sink.read().groupBy("publisher_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # --- 4: rolling totals --------------------------------------------------------------
 
 
@@ -772,9 +806,11 @@ for _rule in ("simple", "partial", "full"):
     ),
 )
 def _(spark, folder):
-    parts = []
+    """The publishers that a placement onto the session's tasks splits for holding that much."""
+    parts, tasks = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in ("session_events", "fact_session_by_minute"):
-        heavy = heavy_keys(key_loads(table(spark, folder, name), "publisher_id"), 0.05).filter("publisher_id is not null")
+        placement = plan_placement(key_loads(table(spark, folder, name), "publisher_id"), "publisher_id", tasks, share=0.05)
+        heavy = split_keys(spark, placement, "publisher_id", 0.05).filter("publisher_id is not null")
         parts.append(heavy.select(F.lit(name).alias("table_name"), "publisher_id"))
     return parts[0].unionByName(parts[1])
 

@@ -36,11 +36,16 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     that survives lost executors. The table is removed when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/starloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    df.write.parquet(removed_at_end(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_at_end(spark: SparkSession, path: str) -> str:
+    """``path``, which is removed when the session ends."""
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def dropped(df: DataFrame) -> None:
     """Removes a table that ``staged`` wrote, once nothing reads it any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

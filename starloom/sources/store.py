@@ -1,13 +1,16 @@
-"""A folder of parquet tables: reads, appends, and full loads that are swapped in when complete."""
+"""A folder of tables with versions: reads, appends, and full loads that are swapped in by one commit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from starloom.sources.versions import Manifest, VersionedTable
+
 
 class TableStore:
-    """Tables lie in ``root/<name><extension>``. Sources may live elsewhere: pass ``sources``.
+    """Derived tables are ``VersionedTable``s in ``root/<name><extension>``. Sources are plain parquet and may
+    live elsewhere: pass ``sources``. A name without a version is read from the sources.
 
     Constraints aren't enforced on write; ``starloom.plans.ddl`` has the checks.
     """
@@ -19,40 +22,29 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}{self.extension}"
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, self.path(name))
 
     def exists(self, name: str) -> bool:
-        fs, target = self._fs(self.path(name))
-        return fs.exists(target)
+        return self.table(name).latest().version > 0
 
-    def read(self, name: str) -> DataFrame:
-        path = self.path(name) if self.exists(name) else f"{self.sources}/{name}{self.extension}"
-        return self.spark.read.parquet(path)
+    def read(self, name: str, version: Manifest | None = None) -> DataFrame:
+        table = self.table(name)
+        version = version or table.latest()
+        return table.read(version) if version.version else self.spark.read.parquet(f"{self.sources}/{name}{self.extension}")
 
     def create(self, name: str, schema: T.StructType) -> None:
         """An empty table; one that exists stays as it is."""
         if not self.exists(name):
-            self.spark.createDataFrame([], schema).write.parquet(self.path(name))
-
-    def append(self, name: str, df: DataFrame, columns: list[str] | None = None, partition_by: list[str] = ()) -> None:
-        """INSERT ... SELECT by name. No merge: rows of a repeated load are stored again."""
-        out = df.select(*columns) if columns else df
-        out.write.mode("append").partitionBy(*partition_by).parquet(self.path(name))
-
-    def replace(self, name: str, df: DataFrame, suffix: str = "_new", partition_by: list[str] = ()) -> None:
-        """Full load: written beside the table under its name and suffix, then put in its place."""
-        staging = self.path(name + suffix)
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(staging)
-        fs, target = self._fs(self.path(name))
-        _, source = self._fs(staging)
-        _, old = self._fs(self.path(name + suffix + "_old"))
-        fs.delete(old, True)
-        if fs.exists(target) and not fs.rename(target, old):
-            raise OSError(f"{target} can't be moved away")
-        if not fs.rename(source, target):
-            fs.rename(old, target)
-            raise OSError(f"{source} can't be put in place")
-        fs.delete(old, True)
+            self.table(name).write(properties={"schema": schema.json()})
+
+    def append(self, name: str, df: DataFrame, columns: list[str] | None = None, properties: dict | None = None, base: Manifest | None = None) -> Manifest:
+        """INSERT ... SELECT by name. ``properties`` become part of the same commit; a commit by someone else
+        since ``base`` makes it fail."""
+        return self.table(name).append(df.select(*columns) if columns else df, properties, base)
+
+    def replace(self, name: str, df: DataFrame, properties: dict | None = None) -> Manifest:
+        """Full load: written beside the present files, which leave in the commit that brings the new ones in.
+        Readers see either; none sees neither."""
+        table = self.table(name)
+        return table.replace_files(list(table.latest().files), df, properties)

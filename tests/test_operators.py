@@ -142,6 +142,79 @@ def test_processing_survives_failures(spark, tmp_path):
     assert sink.latest() == before
 
 
+def files_read(df):
+    return {f.rsplit("/", 1)[-1] for f in df.inputFiles()}
+
+
+def test_a_delta_reads_changed_files_only(spark, tmp_path):
+    table = ch.VersionedTable(spark, str(tmp_path / "t"))
+    v1 = table.append(spark.range(1000).repartition(10))
+    some = table.read().first()[0]
+    v2 = table.delete_where(F.col("id") == some)
+    d = table.difference(v1, v2)
+    assert not d.added and not d.removed and len(d.changed) == 1
+    assert rows(table.delta(v1, v2)) == [(some, "delete")]
+    data = {f for f in files_read(table.delta(v1, v2)) if f in {x.rsplit("/", 1)[-1] for x in v1.files}}
+    assert len(data) == 1 and len(v1.files) == 10
+
+
+def test_rewrites_are_no_changes(spark, tmp_path):
+    table = ch.VersionedTable(spark, str(tmp_path / "t"))
+    v1 = table.append(spark.range(100).repartition(3))
+    v2 = table.delete_where(F.col("id") < 10)
+    v3 = table.append(spark.range(200, 220))
+    v4 = table.compact()
+    v5 = table.delete_where((F.col("id") == 50) | (F.col("id") == 205))
+    v6 = table.compact()
+    assert len(v4.files) < len(v3.files) + 2 and table.delta(v3, v4) is None and table.delta(v2, v2) is None
+    assert rows(table.delta(v4, v5)) == [(205, "delete"), (50, "delete")] == rows(table.delta(v3, v6)) == rows(table.delta(v4, v6))
+    # a row that came and went between the two versions doesn't show
+    want = sorted([(i, "delete") for i in [*range(10), 50]] + [(i, "insert") for i in range(200, 220) if i != 205], key=repr)
+    assert rows(table.delta(v1, v6)) == want == rows(table.delta(v1, v5))
+    assert sorted(r[0] for r in table.read().collect()) == [i for i in [*range(10, 100), *range(200, 220)] if i not in (50, 205)]
+    assert rows(table.delta(v6, v1)) == sorted([(i, "insert" if c == "delete" else "delete") for i, c in want], key=repr)
+
+
+def test_versions_by_shuffle(spark, tmp_path, monkeypatch):
+    from starloom.sources import versions
+
+    monkeypatch.setattr(versions, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(ch, "BROADCAST_SESSIONS", 0)
+    test_versions_and_deltas(spark, tmp_path)
+    test_sessions_by_versions(spark, tmp_path)
+
+
+def test_empty_versions(spark, tmp_path):
+    table = ch.VersionedTable(spark, str(tmp_path / "t"))
+    assert table.compact().version == 0
+    v1 = table.append(spark.range(5))
+    v2 = table.replace_files(list(v1.files))
+    assert v2.files == {} and table.read().count() == 0 and table.read().columns == ["id"]
+    assert table.delta(v1, v2).count() == 5 and table.delta(v2, table.delete_where(F.col("id") > 0)) is None
+
+
+def test_sessions_by_versions(spark, tmp_path):
+    rng = random.Random(8)
+    events = [(rng.choice("abcdefgh") + str(rng.randrange(30)), at(rng.randrange(40)), rng.randrange(1, 9), rng.choice(["x", "y", None]), at(rng.randrange(40))) for _ in range(600)]
+    events += [(None, at(1), 1, "x", at(3)), ("q", at(1), 2, "x", None)]
+    log = [(i, rng.randrange(4), at(a := rng.randrange(40)), at(a + rng.randrange(12)), at(i), rng.choice(["committed", "COMMITTED", "failed"])) for i in range(20)]
+    folder = str(tmp_path / "events here%20.parquet")
+    spark.createDataFrame(events, EVENTS).repartition(4).write.parquet(folder)
+    logs = spark.createDataFrame(log, LOG)
+    read = spark.read.parquet(folder)
+    want = pending(spark, events, log)
+    sink = ch.process_sessions(read, logs, str(tmp_path / "p"))
+    assert want and rows(ch.pending_sessions(sink)) == want
+    before = sink.latest()
+    assert before.properties["processed.sessions"] == "2"
+    ch.process_sessions(read, logs, str(tmp_path / "p"))
+    assert sink.latest() == before
+    # nothing was read so far; nothing is left
+    assert rows(ch.pending_sessions(ch.process_sessions(read, logs.limit(0), str(tmp_path / "q")))) == pending(spark, events, [])
+    every = spark.createDataFrame([(i, i, at(-9), at(99), at(1), "committed") for i in range(4)], LOG)
+    assert ch.pending_sessions(ch.process_sessions(read.filter("arrived_at is not null"), every, str(tmp_path / "r"))).count() == 0
+
+
 # --- 4: rolling totals ---------------------------------------------------------------------
 
 
@@ -227,7 +300,7 @@ def uneven(spark):
 
 def test_tasks_get_even_loads(spark, uneven):
     plan = ba.plan_placement(ba.key_loads(uneven, "k"), "k", 8)
-    assert set(plan.shards) == {1} and sum(plan.planned) == uneven.count() and max(plan.planned) < 1.2 * 12500 / 8
+    assert set(plan.shards) == {1, None} and sum(plan.planned) == uneven.count() and max(plan.planned) < 1.2 * 12500 / 8
     out = ba.balanced(uneven, "k", 8)
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1.35 * 12500 / 8
@@ -235,6 +308,29 @@ def test_tasks_get_even_loads(spark, uneven):
     assert spread == 1  # light keys stay whole
 
 
+def test_a_heavy_null_key_is_split(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 5 > 2, F.col("id") % 700).cast("int").alias("k"), "id")
+    placement = ba.plan_placement(ba.key_loads(df, "k"), "k", 8)
+    assert None in placement.shards and len(set(placement.shards[None])) > 3
+    small = spark.range(700).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
+    for out in (ba.balanced(df, "k", 8, placement), ba.balanced_join(df, small, ["k"], 8, "left")):
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1.5 * 100_000 / 8
+
+
+def test_the_plan_does_not_grow_with_the_tasks(spark, uneven):
+    size = lambda tasks: len(ba.balanced(uneven, "k", tasks)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(400) - size(8)) < 500
+
+
+def test_split_keys(spark, uneven):
+    for tasks in (1, 8):
+        placement = ba.plan_placement(ba.key_loads(uneven, "k"), "k", tasks, share=0.04)
+        got = {r["k"]: r["n_rows"] for r in ba.split_keys(spark, placement, "k", 0.04).collect()}
+        assert got == {1: 6000, None: 500}
+    assert ba.split_keys(spark, ba.plan_placement(ba.key_loads(uneven.limit(0), "k"), "k", 4), "k", 0.1).count() == 0
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_balanced_join_is_a_join(spark, uneven, how):
     small = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (None, 30), (77777, 1)], "k int, v int")

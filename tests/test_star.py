@@ -200,6 +200,29 @@ def test_refreshes(spark, tables, tmp_path):
     assert merged.read("fact_visit_by_minute").agg(F.sum("n")).first()[0] == 5 and merged.read("fact_visit_by_minute").count() == 4
 
 
+def test_a_repeated_window_changes_nothing(spark, tables, tmp_path):
+    e, sources = env(), str(tmp_path / "src")
+    for n in ("visits", "clicks", "ads"):
+        tables[n].write.parquet(f"{sources}/{n}.parquet")
+    store = TableStore(spark, str(tmp_path / "t"), sources)
+    assert "fact_visit_by_minute" in build.incremental_refresh(e, store, t(30, 30), datetime(1900, 1, 1), merge=True)
+    before = {n: store.table(n).latest() for n in derive.build_order(e)}
+    assert build.incremental_refresh(e, store, t(30, 30), datetime(1900, 1, 1), merge=True) == []
+    assert build.incremental_refresh(e, store, t(30), t(29)) == []
+    assert before == {n: store.table(n).latest() for n in before}
+    with pytest.raises(build.OverlappingWindow):
+        build.incremental_refresh(e, store, t(31), t(30))
+    # the cut bucket is put together, the files of other buckets stay as they are
+    build.incremental_refresh(e, store, END, t(30, 30), merge=True)
+    now = store.table("fact_visit_by_minute").latest()
+    assert set(before["fact_visit_by_minute"].files) < set(now.files)
+    full = TableStore(spark, str(tmp_path / "full"), sources)
+    build.full_refresh(e, full, END)
+    count = lambda s: s.read("fact_visit_by_minute").agg(F.sum("n"), F.count("n")).first()
+    assert count(store) == count(full)
+    assert build.incremental_refresh(e, full, t(40), t(30)) == []
+
+
 def test_sql_text_loads_the_same(spark, tables):
     e, cut = env(suffix_template=""), t(31)
     spark.sql("create database if not exists sqltext")
