@@ -6,13 +6,13 @@ slot's count by EVICT, the slot's count moves into the light part, a small array
 the newcomer takes the slot. A newcomer that doesn't win is counted in the light part itself.
 Memory is fixed: BUCKETS x SLOTS slots and LIGHT counters a task, however many values there are.
 
-Partitions merge by bucket: slots of one value add up, and every value seen in a slot stays, since
-there are at most tasks x slots of them; counters add up by position. A value's estimate is its
-slots' count, up to that plus the counter it hashes to, so ``low <= count <= high`` always holds
-(a counter takes in every occurrence that no slot counted). ``found_items`` turns this into an
-exact answer: candidates are the values whose ``high`` reaches the threshold, and any counter
-that reaches it by itself could hide a value that never kept a slot, so the values of such counters
-are counted exactly too.
+Partitions merge by recombining buckets: counts of one value add up, the SLOTS largest of a bucket stay, and
+the counts of the others fall into the counters they hash to, which add up by position. So the merged
+sketch is as large as that of one task, however many tasks there were. A value's estimate is its slot's
+count, up to that plus the counter it hashes to: ``low <= count <= high`` always holds (a counter takes in
+every occurrence that no slot counted). ``found_items`` turns this into an exact answer: candidates are the
+values whose ``high`` reaches the threshold, and any counter that reaches it by itself could hide a value
+that never kept a slot, so the values of such counters are counted exactly too.
 """
 
 from __future__ import annotations
@@ -118,9 +118,22 @@ def _hashed(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def sketch_parts(df: DataFrame, fields: list[str]) -> DataFrame:
     """``field, part, at, item, n``: slots ('heavy', bucket, value, count) and counters ('light',
-    position, null, count) of all tasks, merged by bucket and position."""
-    parts = _hashed(df, fields).mapInArrow(_sketch_task(fields), _DDL)
-    return parts.groupBy("field", "part", "at", "item").agg(F.sum("n").alias("n"))
+    position, null, count), the tasks' sketches merged."""
+    return merged(_hashed(df, fields).mapInArrow(_sketch_task(fields), _DDL))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Sketches of any number of tasks or tables as one: at most SLOTS values a bucket and LIGHT counters a field."""
+    heavy = parts.filter("part = 'heavy'").groupBy("field", "at", "item").agg(F.sum("n").alias("n"))
+    heavy = heavy.withColumn("__rank", F.row_number().over(W.partitionBy("field", "at").orderBy(F.desc("n"), "item")))
+    # the values that lose their slot go with the counters: one pass over the buckets for both
+    stays = F.col("__rank") <= SLOTS
+    heavy = heavy.select(
+        "field", F.when(stays, "heavy").otherwise("light").alias("part"), F.when(stays, F.col("at")).otherwise(_light_position(F.col("item"))).alias("at"),
+        F.when(stays, F.col("item")).alias("item"), "n",
+    )
+    both = heavy.unionByName(parts.filter("part = 'light'"))
+    return both.groupBy("field", "part", "at", "item").agg(F.sum("n").alias("n"))
 
 
 def _light_position(item: Column) -> Column:
@@ -152,27 +165,17 @@ def found_items(df: DataFrame, fields: list[str], share: float, parts: DataFrame
     reaches = (F.col("high") >= F.col("__least")) & (F.col("high") - F.col("low") < F.col("__least"))
     items = frequent_items(parts).join(reach, (F.col("field") == F.col("__tf")) & reaches)
     counters = parts.filter("part = 'light'").join(reach, (F.col("field") == F.col("__tf")) & (F.col("n") >= F.col("__least")))
-    # at most 1 / share counters, and few times as many items, since an item whose counter reaches the
-    # threshold is left to the counter; the values of both are counted exactly
-    candidates = items.select("field", "item").collect()
-    full = counters.select("field", "at").collect()
-    least = {r["field"]: r["__least"] for r in totals.collect()}
-    hashed = _hashed(df, fields)
-    counts = []
+    # at most BUCKETS x SLOTS items a field and 1 / share counters; the values of both are counted exactly
+    wanted = F.broadcast(items.select(F.col("field").alias("__wf"), F.col("item").alias("__wi")))
+    cells = [(r["field"], r["at"]) for r in counters.select("field", "at").collect()]
+    one = [F.struct(F.lit(f).alias("field"), F.col(f).alias("item")) for f in fields]
+    rows = df.select(F.explode(F.array(*one)).alias("v")).select("v.field", countable(F.col("v.item")).alias("item")).filter("item is not null")
+    hidden = F.lit(False)
     for f in fields:
-        wanted = sorted({r["item"] for r in candidates if r["field"] == f})
-        cells = sorted({r["at"] for r in full if r["field"] == f})
-        test = F.lit(False)
-        if wanted:
-            test = F.col(f).isin(wanted)
-        if cells:
-            test = test | _light_position(F.col(f)).isin(cells)
-        counts.append(hashed.filter(test).select(F.lit(f).alias("field"), F.col(f).alias("item")))
-    rows = counts[0]
-    for c in counts[1:]:
-        rows = rows.unionByName(c)
-    rows = rows.groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
-    enough = F.lit(False)
-    for f, n in least.items():
-        enough = enough | ((F.col("field") == f) & (F.col("n") >= F.lit(n)))
-    return rows.filter(enough).select("field", "item")
+        mine = sorted(at for field, at in cells if field == f)
+        if mine:
+            hidden = hidden | ((F.col("field") == f) & _light_position(F.col("item")).isin(mine))
+    rows = rows.join(wanted, (F.col("field") == F.col("__wf")) & (F.col("item") == F.col("__wi")), "left")
+    counts = rows.filter(F.col("__wi").isNotNull() | hidden).groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
+    enough = counts.join(reach, (F.col("field") == F.col("__tf")) & (F.col("n") >= F.col("__least")))
+    return enough.select("field", "item")

@@ -6,16 +6,21 @@ measurement a unit placeholder, and any other word stays. Names are words that t
 with a capital inside a sentence and never without, and in documents also capitalised words that no
 item uses. So a word that both sides use gets the same token on both, however it is written.
 
-Windows of template tokens are hashed and joined by hash. A shared template window says that a
-document holds an item's wording, perhaps with other numbers and names. The slots decide:
-
-* exact: the words themselves agree as well (``shared_passages``),
-* re-parameterised: over the windows that an item and a document share at one alignment (places
-  that lie equally far apart), the slots are filled consistently, each value of the item standing
-  for one value of the document (``template_leaks``). One such alignment is enough: a document may
-  hold an item several times, with other values each time.
-
-Every window of words that agrees is a window of templates that agrees, so nothing exact is missed.
+Windows of template tokens are hashed and joined by hash, in two forms:
+
+* word by word, a token for each word. Where such a window agrees and its words agree as well, the passage
+  is held exactly (``shared_passages``). Every window of words that agrees is a window of templates that
+  agrees, so nothing exact is missed. A window with fewer than PLAIN words of its own is hashed by its words:
+  rows of numbers match nothing but themselves.
+* with runs of names and runs of numbers drawn together, so that a name of two words may stand for one of
+  one word. A shared window says that a document holds an item's wording, perhaps with other numbers and names.
+  The slots decide: over the windows that an item and a document share at one alignment (places that lie equally
+  far apart), each value of the item stands for one value of the document. Several values may become
+  the same one, as a number drawn anew may repeat another. One consistent alignment is enough, since a document may
+  hold an item several times with other values each time; but it must cover EVIDENCE tokens (or the
+  whole item, if that is shorter), as single frames of a sentence are shared by many texts (``template_leaks``).
+
+Ids of documents are unique, and so are those of items. Texts and passages that are null or short match nothing.
 """
 
 from __future__ import annotations
@@ -29,10 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.balance import balanced_join
+from starloom.sources.shared import staged
+
 WINDOW = 12
+#: Words in a window that are no placeholders, at least, for its template to say anything.
+PLAIN = 4
+#: Tokens that an alignment must cover.
+EVIDENCE = 18
 #: Most item windows that are broadcast (16 bytes each, so 16 MB, beside the passages' own words);
-#: more are joined by a shuffle. Also the most item words that are.
+#: more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Most item words that are broadcast; more are joined to the documents' words by a shuffle.
+BROADCAST_WORDS = 1_000_000
+#: Bits of the filter that keeps documents' windows that no item has out of the shuffle: 16 for each item window, at most so many.
+FILTER_BITS = 1 << 29
 
 # Words that stand for units of measurement.
 UNITS = frozenset(
@@ -44,6 +60,7 @@ UNITS = frozenset(
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_DRAWN = np.uint64(0x5851F42D4C957F2D)  # keeps the two forms of windows apart
 
 
 def words_of(text: str) -> list[str]:
@@ -71,7 +88,11 @@ def names_of(passages: list[str]) -> frozenset[str]:
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+NUMBER, NAME, UNIT = "\0number", "\0name", "\0unit"
+_NUMBER, _NAME, _UNIT = (np.uint64(_hash(t)) for t in (NUMBER, NAME, UNIT))
 
 
 class Templates:
@@ -84,31 +105,36 @@ class Templates:
     def __init__(self, names: frozenset[str], vocabulary: frozenset[str] | None = None):
         self.names, self.vocabulary = names, vocabulary
         self.kept: dict[str, int] = {}
+        self.exact: dict[str, int] = {}
 
     def token(self, word: str) -> str:
         small = word.lower()
         if small.isnumeric() or (small[0].isnumeric() and any(c.isnumeric() for c in small)):
-            return "\0number"
+            return NUMBER
         if small in self.names:
-            return "\0name"
+            return NAME
         if small in UNITS:
-            return "\0unit"
+            return UNIT
         if self.vocabulary is not None and word[0].isupper() and small not in self.vocabulary:
-            return "\0name"
+            return NAME
         return small
 
-    def _new(self, word: str) -> int:
-        if len(self.kept) >= self.KEPT:
-            self.kept.clear()
-        h = self.kept[word] = _hash(self.token(word))
-        return h
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.kept.get, words))
+    def _of(self, words: list[str], kept: dict[str, int], make) -> np.ndarray:
+        found = list(map(kept.get, words))
         if None in found:
-            found = [self._new(w) if h is None else h for w, h in zip(words, found)]
+            if len(kept) >= self.KEPT:
+                kept.clear()
+            for i, h in enumerate(found):
+                if h is None:
+                    found[i] = kept[words[i]] = _hash(make(words[i]))
         return np.array(found, np.uint64)
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return self._of(words, self.kept, self.token)
+
+    def word_numbers(self, words: list[str]) -> np.ndarray:
+        return self._of(words, self.exact, str.lower)
+
 
 def window_hashes(numbers: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Hash of each run of ``window`` consecutive numbers (polynomial, modulo 2 ** 64)."""
@@ -122,58 +148,119 @@ def window_hashes(numbers: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return out
 
 
-# --- the items' side --------------------------------------------------------------------
+class Text:
+    """The windows of one text in both forms."""
 
+    def __init__(self, words: list[str], templates: Templates, window: int):
+        self.words, self.templates, self.window = words, templates, window
+        self.numbers = templates.numbers(words)
+        placeholder = (self.numbers == _NUMBER) | (self.numbers == _NAME)
+        self.filled = placeholder | (self.numbers == _UNIT)
 
-class ItemWindows:
-    """All template windows of the items: sorted hashes with the item and the place of each."""
+        again = np.zeros(len(words), bool)
+        again[1:] = placeholder[1:] & (self.numbers[1:] == self.numbers[:-1])
+        self.starts = np.flatnonzero(~again)
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        self.window = window
-        self.ids = [i for i, _ in items]
-        self.words = [words_of(t) for _, t in items]
-        vocabulary = frozenset(w.lower() for ws in self.words for w in ws)
-        self.templates = Templates(names_of([t for _, t in items]), vocabulary)
-        hashes = [window_hashes(self.templates.numbers(ws), window) for ws in self.words]
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    def _telling(self, filled: np.ndarray) -> np.ndarray:
+        """Whether each window has words enough that are no placeholders."""
+        sums = np.r_[0, np.cumsum(~filled)]
+        return sums[self.window :] - sums[: -self.window] >= PLAIN
+
+    def by_word(self) -> np.ndarray:
+        """Hashes of the windows of words."""
+        out = window_hashes(self.numbers, self.window)
+        if len(out):
+            bare = ~self._telling(self.filled)
+            if bare.any():
+                out[bare] = window_hashes(self.templates.word_numbers(self.words), self.window)[bare]
+        return out
+
+    def drawn(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places, among the drawn-together tokens, and hashes of the windows that tell something."""
+        out = window_hashes(self.numbers[self.starts], self.window)
+        if not len(out):
+            return np.empty(0, np.int64), out
+        on = np.flatnonzero(self._telling(self.filled[self.starts]))
+        return on, out[on] ^ _DRAWN
+
+    def small(self) -> list[str]:
+        return [w.lower() for w in self.words]
+
+    def values(self) -> list[tuple[bool, str]]:
+        """Each drawn-together token: whether it is a placeholder, and its words."""
+        small, ends = self.small(), [*self.starts[1:].tolist(), len(self.words)]
+        return [(f, small[a] if b == a + 1 else " ".join(small[a:b])) for a, b, f in zip(self.starts.tolist(), ends, self.filled[self.starts].tolist())]
+
+
+class _Index:
+    """Sorted hashes with the item and the place of each."""
+
+    def __init__(self, places: list[np.ndarray], hashes: list[np.ndarray]):
+        flat = np.concatenate([np.empty(0, np.uint64), *hashes])
         item = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.empty(0, np.int32)
+        place = np.concatenate([np.empty(0, np.int64), *places]).astype(np.int32)
         order = np.argsort(flat, kind="stable")
         self.hashes, self.item, self.place = flat[order], item[order], place[order]
-        self.templates.kept = {}
-
-    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``words`` whose window some item has, and where that hash's entries start and end."""
-        mine = window_hashes(self.templates.numbers(words), self.window)
-        if not len(mine) or not len(self.hashes):
-            return (np.empty(0, np.int64),) * 3
-        first = np.searchsorted(self.hashes, mine)
+
+    def hits(self, places: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in the text, item, place in the item) of each window that both have."""
+        if not len(hashes) or not len(self.hashes):
+            return
+        first = np.searchsorted(self.hashes, hashes)
         first[first == len(self.hashes)] = 0
-        at = np.flatnonzero(self.hashes[first] == mine)
-        return at, first[at], np.searchsorted(self.hashes, mine[at], side="right")
+        at = np.flatnonzero(self.hashes[first] == hashes)
+        ends = np.searchsorted(self.hashes, hashes[at], side="right")
+        for place, a, b in zip(places[at].tolist(), first[at].tolist(), ends.tolist()):
+            for e in range(a, b):
+                yield place, int(self.item[e]), int(self.place[e])
+
+
+class ItemWindows:
+    """All windows of the items. ``templates`` are made of the items themselves if not given."""
 
-    def compare(self, words: list[str]):
-        """(item id, exact windows, template windows, slots consistent at some alignment) for each item that shares a window."""
-        token = self.templates.token
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, templates: Templates | None = None):
+        self.window = window
+        self.ids = [i for i, _ in items]
+        words = [words_of(t) for _, t in items]
+        if templates is None:
+            templates = Templates(names_of([t for _, t in items]), frozenset(w.lower() for ws in words for w in ws))
+        self.templates = templates
+        texts = [Text(ws, templates, window) for ws in words]
+        self.words, self.values = [t.small() for t in texts], [t.values() for t in texts]
+        by_word, drawn = [t.by_word() for t in texts], [t.drawn() for t in texts]
+        self.by_word = _Index([np.arange(len(h)) for h in by_word], by_word)
+        self.drawn = _Index([a for a, _ in drawn], [h for _, h in drawn])
+
+    def compare(self, words: list[str], reworded: bool = True) -> Iterator[tuple[int, int, int, bool]]:
+        """(item id, exact windows, template windows, slots consistent at some alignment) for each item that shares
+        a window. Without ``reworded`` only exact windows are looked for."""
+        if len(words) < self.window and not reworded:
+            return
+        text = Text(words, self.templates, self.window)
         found: dict[int, list] = {}
-        for at, first, end in zip(*(x.tolist() for x in self.hits(words))):
-            mine = words[at : at + self.window]
-            for e in range(first, end):
-                item, i = int(self.item[e]), int(self.place[e])
-                theirs = self.words[item][i : i + self.window]
-                tokens = [token(w) for w in theirs]
-                if tokens != [token(w) for w in mine]:
-                    continue  # the hashes agree by chance
-                state = found.setdefault(item, [0, 0, {}])
-                pairs = [(a.lower(), b.lower()) for a, b in zip(theirs, mine)]
-                state[0] += all(a == b for a, b in pairs)
-                state[1] += 1
-                slots = state[2].setdefault(at - i, [True, {}, {}])
-                for t, (a, b) in zip(tokens, pairs):
-                    if t[0] == "\0" and (slots[1].setdefault(a, b) != b or slots[2].setdefault(b, a) != a):
-                        slots[0] = False
+        small: list[str] = []
+        hashes = text.by_word()
+        for at, item, i in self.by_word.hits(np.arange(len(hashes)), hashes):
+            small = small or text.small()
+            state = found.setdefault(item, [0, 0, {}])
+            state[0] += small[at : at + self.window] == self.words[item][i : i + self.window]
+        values: list[tuple[bool, str]] = []
+        for at, item, i in self.drawn.hits(*text.drawn()) if reworded else ():
+            values = values or text.values()
+            mine, theirs = values[at : at + self.window], self.values[item][i : i + self.window]
+            if any(f != g or (not f and a != b) for (f, a), (g, b) in zip(theirs, mine)):
+                continue  # the hashes agree by chance
+            state = found.setdefault(item, [0, 0, {}])
+            state[1] += 1
+            slots = state[2].setdefault(at - i, [True, {}, 0, -self.window])
+            slots[2] += min(self.window, i - slots[3])
+            slots[3] = i
+            for (f, a), (_, b) in zip(theirs, mine):
+                if f and slots[1].setdefault(a, b) != b:
+                    slots[0] = False
         for item, (exact, shared, alignments) in found.items():
-            yield self.ids[item], exact, shared, any(consistent for consistent, _, _ in alignments.values())
+            least = min(EVIDENCE, len(self.values[item]))
+            yield self.ids[item], exact, shared, any(fits and covered >= least for fits, _, covered, _ in alignments.values())
 
 
 # --- over the corpus ----------------------------------------------------------------------
@@ -181,17 +268,18 @@ class ItemWindows:
 _MATCH_DDL = "doc_id bigint, item_id bigint, n_exact int, n_template int, consistent boolean"
 
 
-def document_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def document_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, reworded: bool = True) -> DataFrame:
     """``doc_id, item_id, n_exact, n_template, consistent`` for every document and item that share
     a template window: how many windows agree word by word, how many as templates, and whether the
-    slots are filled consistently. Texts and passages that are null or short match nothing.
+    slots are filled consistently at an alignment that is evidence enough. Without ``reworded`` the last two are
+    not looked for.
 
     Item windows are broadcast while their counted number is within BROADCAST_WINDOWS; beyond it
-    ``document_matches_shuffled`` joins both sides by hash.
+    ``document_matches_shuffled`` joins both sides by hash, with the same rows.
     """
     n_chars = items.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
     if n_chars > 2 * BROADCAST_WINDOWS:  # a window takes at least two characters of its own
-        return document_matches_shuffled(docs, items, window)
+        return document_matches_shuffled(docs, items, window, reworded)
     rows = [(r["item_id"], r["passage"]) for r in items.select("item_id", "passage").filter("passage <> ''").collect()]
     side = docs.sparkSession.sparkContext.broadcast(ItemWindows(rows, window))
 
@@ -199,7 +287,7 @@ def document_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
         compare = side.value.compare
         for batch in batches:
             texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            out = [(doc, *m) for doc, text in texts if text for m in compare(words_of(text))]
+            out = [(doc, *m) for doc, text in texts if text for m in compare(words_of(text), reworded)]
             if out:
                 yield _batch(out)
 
@@ -212,53 +300,124 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def document_matches_shuffled(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The same for item sets of any size: windows of both sides meet by hash in a shuffle.
+# --- item sets of any size ----------------------------------------------------------------------
+
+_WINDOW_DDL = "id bigint, at int, drawn boolean, h bigint, x bigint, n int"
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _with_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``id, text, known, names``: which words of each text are the items', and which of those are names, by a join."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for w in {x.lower() for x in words_of(t)}]
+            if rows:
+                ids, found = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found)], names=["__id", "word"])
+
+    held = texts.select("id", "text").mapInArrow(distinct, "__id bigint, word string").join(words, "word")
+    lists = held.groupBy("__id").agg(F.collect_list("word").alias("known"), F.collect_list(F.when("name", F.col("word"))).alias("names"))
+    return texts.join(lists, F.col("id").eqNullSafe(F.col("__id")), "left").select("id", "text", "known", "names")
+
+
+def _windows(texts: DataFrame, side, window: int, reworded: bool, seen=None) -> DataFrame:
+    """Windows of both forms: hash, hash of the words, drawn-together tokens of the text. ``seen``: a filter (broadcast);
+    windows it doesn't know are left out."""
 
-    The items' words are broadcast if they are within BROADCAST_WINDOWS; beyond that only numbers
-    and units are placeholders.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = side.value
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, text, *marks in zip(*columns):
+                if not text:
+                    continue
+                templates = common or Templates(frozenset(marks[1] or ()), frozenset(marks[0] or ()))
+                t = Text(words_of(text), templates, window)
+                h = t.by_word()
+                x = window_hashes(templates.word_numbers(t.words), window)
+                parts = [(np.arange(len(h)), h, x, False)]
+                if reworded:
+                    at, drawn = t.drawn()
+                    parts.append((at, drawn, np.zeros(len(at), np.uint64), True))
+                for at, h, x, kind in parts:
+                    if seen is not None and len(h):
+                        bits = seen.value
+                        b = h & np.uint64(len(bits) * 64 - 1)
+                        on = np.flatnonzero(bits[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1))
+                        at, h, x = at[on], h[on], x[on]
+                    if len(h):
+                        n = len(h)
+                        arrays = [pa.array([i] * n, pa.int64()), pa.array(at, pa.int32()), pa.array([kind] * n), _signed(h), _signed(x), pa.array([len(t.starts)] * n, pa.int32())]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["id", "at", "drawn", "h", "x", "n"])
+
+    return texts.mapInArrow(run, _WINDOW_DDL)
+
+
+def _filter_of(windows: DataFrame) -> np.ndarray:
+    """A bit for each hash, as words of 64: at most FILTER_BITS / 64 of them reach the driver."""
+    n = windows.count()
+    bits = min(FILTER_BITS, 1 << max(10, int(16 * n).bit_length()))
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = windows.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def document_matches_shuffled(docs: DataFrame, items: DataFrame, window: int = WINDOW, reworded: bool = True) -> DataFrame:
+    """The same for item sets of any size: windows of both sides meet by hash in a shuffle, hashes of very many windows
+    split over tasks. Pairs that an alignment speaks for are compared text by text.
+
+    Items' words decide what is a name: they are broadcast within BROADCAST_WORDS, else joined to the words of each text.
     """
-    words = items.select("passage").mapInArrow(_word_rows, "word string, capital boolean").groupBy("word").agg(F.min("capital").alias("name"))
-    listed = words.limit(BROADCAST_WINDOWS + 1).collect()
-    if len(listed) > BROADCAST_WINDOWS:
-        templates = Templates(frozenset())
+    spark = docs.sparkSession
+    mine, theirs = docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("id"), F.col("passage").alias("text"))
+    words = items.select("passage").mapInArrow(_word_rows, "word string, capital boolean").groupBy("word").agg(F.coalesce(F.min("capital"), F.lit(False)).alias("name"))
+    words = staged(words, "words")
+    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        listed = words.collect()
+        common = Templates(frozenset(r["word"] for r in listed if r["name"]), frozenset(r["word"] for r in listed))
     else:
-        templates = Templates(frozenset(r["word"] for r in listed if r["name"]), frozenset(r["word"] for r in listed))
-    side = docs.sparkSession.sparkContext.broadcast(templates)
+        common, mine, theirs = None, _with_words(mine, words), _with_words(theirs, words)
+    side = spark.sparkContext.broadcast(common)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = staged(_windows(theirs, side, window, reworded), "items").withColumnsRenamed({"id": "item_id", "at": "i_at", "drawn": "i_drawn", "x": "i_x"})
+    seen = spark.sparkContext.broadcast(_filter_of(left))
+    found = staged(_windows(mine, side, window, reworded, seen).withColumnRenamed("id", "doc_id").drop("n"), "windows")
+    joined = balanced_join(found, left, ["h"], tasks, "inner", spread=F.xxhash64("doc_id", "at")).filter("drawn = i_drawn")
+    shift = (F.col("at") - F.col("i_at")).alias("shift")
+    exact = F.sum((~F.col("drawn") & (F.col("x") == F.col("i_x"))).cast("int")).alias("n_exact")
+    span = F.max("i_at") - F.min("i_at") + window
+    by_shift = joined.groupBy("doc_id", "item_id", "drawn", shift).agg(
+        exact, F.sum(F.col("drawn").cast("int")).alias("n_template"), (F.max(F.col("drawn")) & (span >= F.least(F.lit(EVIDENCE), F.max("n")))).alias("telling")
+    )
+    sums = [F.sum(n).cast("int").alias(n) for n in ("n_exact", "n_template")]
+    pairs = staged(by_shift.groupBy("doc_id", "item_id").agg(*sums, F.max("telling").alias("telling")), "pairs")
+    if not reworded:
+        return pairs.select("doc_id", "item_id", "n_exact", "n_template", F.lit(False).alias("consistent"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = side.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = side.value
         for batch in batches:
-            ids, places, hashes, texts, slots = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text) if text else []
-                found = window_hashes(templates.numbers(words), window).tolist()
-                small = [w.lower() for w in words]
-                tokens = [templates.token(w) for w in words] if found else []
-                for at, h in enumerate(found):
-                    ids.append(i)
-                    places.append(at)
-                    hashes.append(h - (1 << 63))
-                    texts.append(" ".join(small[at : at + window]))
-                    slots.append([w for w, t in zip(small[at : at + window], tokens[at : at + window]) if t[0] == "\0"])
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(slots, pa.list_(pa.string()))], names=["id", "at", "h", "words", "slots"])
-
-    ddl = "id bigint, at int, h bigint, words string, slots array<string>"
-    theirs = items.select("item_id", "passage").mapInArrow(windows, ddl).withColumnsRenamed({"id": "item_id", "at": "i_at", "words": "i_words", "slots": "i_slots"})
-    mine = docs.select("doc_id", "text").mapInArrow(windows, ddl).withColumnsRenamed({"id": "doc_id", "at": "d_at", "words": "d_words", "slots": "d_slots"})
-    pairs = mine.join(theirs, "h").filter(F.size("i_slots") == F.size("d_slots"))
-    same, shift = (F.col("d_words") == F.col("i_words")).cast("int"), F.col("d_at") - F.col("i_at")
-    pairs = pairs.select("doc_id", "item_id", shift.alias("shift"), same.alias("same"), F.arrays_zip("i_slots", "d_slots").alias("z"))
-    keys = ["doc_id", "item_id", "shift"]
-    counts = pairs.groupBy(*keys).agg(F.sum("same").alias("n_exact"), F.count(F.lit(1)).alias("n_template"))
-    fills = pairs.select(*keys, F.explode("z").alias("z")).select(*keys, "z.i_slots", "z.d_slots").distinct()
-    clash = fills.groupBy(*keys, "i_slots").count().filter("count > 1").select(*keys)
-    back = fills.groupBy(*keys, "d_slots").count().filter("count > 1").select(*keys)
-    broken = clash.unionByName(back).distinct().withColumn("broken", F.lit(True))
-    out = counts.join(broken, keys, "left").groupBy("doc_id", "item_id")
-    sums = [F.sum(n).cast("int").alias(n) for n in ("n_exact", "n_template")]
-    return out.agg(*sums, F.max(F.col("broken").isNull()).alias("consistent"))
+            out = []
+            for d, i, text, passage, *marks in zip(*[c.to_pylist() for c in batch.columns]):
+                templates = common or Templates(frozenset((marks[1] or []) + (marks[3] or [])), frozenset((marks[0] or []) + (marks[2] or [])))
+                out += [(d, i, 0, 0, m[3]) for m in ItemWindows([(i, passage)], window, templates).compare(words_of(text))]
+            if out:
+                yield _batch(out)
+
+    marks = lambda p: [] if common else [F.col(f"{p}.known").alias(f"{p}_known"), F.col(f"{p}.names").alias(f"{p}_names")]
+    told = pairs.filter("telling").select("doc_id", "item_id")
+    told = told.join(mine.alias("m"), F.col("doc_id").eqNullSafe(F.col("m.id"))).join(theirs.alias("t"), F.col("item_id").eqNullSafe(F.col("t.id")))
+    told = told.select("doc_id", "item_id", F.col("m.text").alias("text"), F.col("t.text").alias("passage"), *marks("m"), *marks("t"))
+    verdict = told.mapInArrow(run, _MATCH_DDL).groupBy(F.col("doc_id").alias("__d"), F.col("item_id").alias("__i")).agg(F.max("consistent").alias("consistent"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("item_id").eqNullSafe(F.col("__i"))
+    out = pairs.join(verdict, same, "left")
+    return out.select("doc_id", "item_id", "n_exact", "n_template", F.coalesce("consistent", F.lit(False)).alias("consistent"))
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

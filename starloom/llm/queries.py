@@ -97,10 +97,35 @@ def _(spark, folder):
     return frequent.found_items(table(spark, folder, "session_events"), _FIELDS, SHARE)
 
 
+TOP = 100
+
+
+def _top(spark, folder) -> DataFrame:
+    parts = staged(frequent.sketch_parts(table(spark, folder, "session_events"), _FIELDS), "frequent")
+    return frequent.top_items(parts, TOP)
+
+
 @query("p3_top")
 def _(spark, folder):
-    parts = staged(frequent.sketch_parts(table(spark, folder, "session_events"), _FIELDS), "frequent")
-    return frequent.top_items(parts, 100)
+    return _top(spark, folder)
+
+
+@query(
+    "p3_top_bounds",
+    " union all ".join(
+        f"select '{f}' as field, least({TOP}, count(distinct {f})) as n_items, least({TOP}, count(distinct {f})) as n_within_bounds from session_events"
+        f" where regexp_matches({f}, '[^\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]')"
+        for f in _FIELDS
+    ),
+)
+def _(spark, folder):
+    """The bounds of the report against exact counts of all rows: how many of its values lie within them."""
+    top = _top(spark, folder)
+    one = [F.struct(F.lit(f).alias("field"), F.col(f).alias("item")) for f in _FIELDS]
+    rows = table(spark, folder, "session_events").select(F.explode(F.array(*one)).alias("v")).select("v.*")
+    exact = rows.filter("item is not null").groupBy("field", "item").agg(F.count(F.lit(1)).alias("exact"))
+    within = F.sum(F.col("exact").between(F.col("low"), F.col("high")).cast("bigint"))
+    return top.join(exact, ["field", "item"]).groupBy("field").agg(F.count(F.lit(1)).alias("n_items"), within.alias("n_within_bounds"))
 
 
 # --- 7: token ids -------------------------------------------------------------------
@@ -129,8 +154,8 @@ def _windows_sql(name: str, key: str, text: str) -> str:
     )
 
 
-def _matches(spark, folder) -> DataFrame:
-    return leaks.document_matches(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+def _matches(spark, folder, reworded: bool) -> DataFrame:
+    return leaks.document_matches(table(spark, folder, "documents"), table(spark, folder, "eval_items"), reworded=reworded)
 
 
 @query(
@@ -139,12 +164,12 @@ def _matches(spark, folder) -> DataFrame:
     " select distinct doc_id, item_id from documentsk join eval_itemsk using (k)",
 )
 def _(spark, folder):
-    return leaks.shared_passages(_matches(spark, folder))
+    return leaks.shared_passages(_matches(spark, folder, reworded=False))
 
 
 @query("p8_templates")
 def _(spark, folder):
-    return leaks.template_leaks(_matches(spark, folder))
+    return leaks.template_leaks(_matches(spark, folder, reworded=True))
 
 
 # --- 9: subject areas ---------------------------------------------------------------

@@ -61,3 +61,29 @@ def test_empty_and_long(spark):
     assert fr.found_items(df, ["a"], 0.1).count() == 0
     long = spark.createDataFrame([("x" * 100_000,), ("y",)], "a string")
     assert fr.found_items(long.select(F.col("a"), F.col("a").alias("A2")), ["a"], 0.4).count() == 2
+
+
+def test_the_merged_sketch_does_not_grow_with_the_tasks(spark):
+    """A hundred tasks give a sketch no larger than ten, and its bounds hold."""
+    rng = random.Random(6)
+    values = [f"hot{rng.randrange(5)}" if rng.random() < 0.3 else f"v{rng.randrange(10**9)}" for _ in range(60_000)]
+    df = spark.createDataFrame([(v,) for v in values], "a string")
+    exact, total = Counter(values), len(values)
+
+    hashed = df.distinct().select("a", F.xxhash64("a").alias("h")).collect()
+    lookup = {r["a"]: r for r in hashed}
+    sizes = {}
+    for n in (10, 100):
+        rows = []
+        for i in range(n):
+            part = values[i * total // n : (i + 1) * total // n]
+            s, mine = fr.HeavyLight(), Counter(part)
+            s.add(list(mine), [lookup[v]["h"] & (2**64 - 1) for v in mine], list(mine.values()))
+            rows += [("a", "heavy", b, v, c) for b, v, c in s.slots_held()] + [("a", "light", at, None, c) for at, c in enumerate(s.light) if c]
+        parts = fr.merged(spark.createDataFrame(rows, fr._DDL)).cache()
+        sizes[n] = parts.count()
+        assert parts.filter("part = 'heavy'").count() <= fr.BUCKETS * fr.SLOTS and parts.agg(F.sum("n")).first()[0] == total
+        got = {r["item"]: (r["low"], r["high"]) for r in fr.frequent_items(parts).collect()}
+        assert all(low <= exact[v] <= high for v, (low, high) in got.items()) and {f"hot{i}" for i in range(5)} <= set(got)
+        parts.unpersist()
+    assert max(sizes.values()) <= fr.BUCKETS * fr.SLOTS + fr.LIGHT
