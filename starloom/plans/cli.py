@@ -75,11 +75,11 @@ def settings_of(args: argparse.Namespace) -> m.Settings:
     return m.Settings(time_unit=m.TimeUnit[args.timeunit.upper()], **fields)
 
 
-def write_files(env: m.Env, output: Path) -> None:
+def files_of(env: m.Env) -> dict[str, str]:
+    """What goes into each file, by its path in the output folder."""
     s = env.settings
-    folders = {m.Mode.FULL: output / "fullrefresh", m.Mode.INCREMENTAL: output / "increfresh"}
-    for folder in (output / "create", *folders.values()):
-        folder.mkdir(parents=True, exist_ok=True)
+    folders = {m.Mode.FULL: "fullrefresh", m.Mode.INCREMENTAL: "increfresh"}
+    out: dict[str, str] = {}
     new: list[str] = []
     for fact in env.facts:
         for table in derive.dimension_tables(env, fact):
@@ -87,19 +87,25 @@ def write_files(env: m.Env, output: Path) -> None:
                 continue
             name = table.name if table.name not in new else f"{table.name}.{fact.name}"
             new.append(table.name)
-            (output / "create" / f"{table.name}.sql").write_text("\n".join(ddl.dimension_ddl(env, table)))
+            out[f"create/{table.name}.sql"] = "\n".join(ddl.dimension_ddl(env, table))
             for mode, folder in folders.items():
-                dim = table.name.removeprefix(s.dim_prefix)
-                (folder / f"{name}.sql").write_text(sqltext.dimension_sql(env, fact, dim, mode))
+                out[f"{folder}/{name}.sql"] = sqltext.dimension_sql(env, fact, table.name.removeprefix(s.dim_prefix), mode)
         if fact.persistent:
             name = derive.fact_table_name(s, fact)
-            (output / "create" / f"{name}.sql").write_text("\n".join(ddl.fact_ddl(env, fact)))
+            out[f"create/{name}.sql"] = "\n".join(ddl.fact_ddl(env, fact))
             for mode, folder in folders.items():
-                (folder / f"{name}.sql").write_text(sqltext.fact_sql(env, fact, mode))
+                out[f"{folder}/{name}.sql"] = sqltext.fact_sql(env, fact, mode)
     facts = [derive.fact_table_name(s, f) for f in env.facts if f.persistent]
-    (output / s.dependencies_file).write_text(json.dumps(derive.all_dependencies(env), indent=1))
-    (output / s.dimensions_file).write_text(json.dumps(list(dict.fromkeys(new))))
-    (output / s.facts_file).write_text(json.dumps(facts))
+    out[s.dependencies_file] = json.dumps(derive.all_dependencies(env), indent=1)
+    out[s.dimensions_file] = json.dumps(list(dict.fromkeys(new)))
+    out[s.facts_file] = json.dumps(facts)
+    return out
+
+
+def write_files(env: m.Env, output: Path) -> None:
+    for path, text in files_of(env).items():
+        (output / path).parent.mkdir(parents=True, exist_ok=True)
+        (output / path).write_text(text)
 
 
 def main(argv: list[str] | None = None) -> int:

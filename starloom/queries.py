@@ -166,16 +166,18 @@ _ORDERS_SQL = """orders_n as (select o_orderkey, o_orderdate, case when o_custke
  nullif(o_orderpriority, '1-URGENT') as o_orderpriority, nullif(o_orderstatus, 'F') as o_orderstatus from orders)"""
 
 
-def _lineitem(spark, folder) -> DataFrame:
-    """Line items with decimals, whose sums don't depend on their order, and order columns beside them."""
+def _lineitem(spark, folder, with_orders: bool = False) -> DataFrame:
+    """Line items with decimals, whose sums don't depend on their order, and order columns beside them if asked for."""
+    rows = table(spark, folder, "lineitem").withColumns({c: F.col(c).cast("decimal(12,2)") for c in ("l_quantity", "l_extendedprice")})
+    if not with_orders:
+        return rows
     o = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").alias("l_orderdate"), F.col("o_custkey").alias("l_custkey"))
-    rows = table(spark, folder, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-    return rows.withColumns({c: F.col(c).cast("decimal(12,2)") for c in ("l_quantity", "l_extendedprice")})
+    return rows.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey")
 
 
 _LINEITEM_SQL = """li as (select l.* exclude (l_quantity, l_extendedprice), cast(l_quantity as decimal(12,2)) as l_quantity,
  cast(l_extendedprice as decimal(12,2)) as l_extendedprice, o_orderdate as l_orderdate, o_custkey as l_custkey
- from lineitem l join orders on l_orderkey = o_orderkey)"""
+ from lineitem l left join orders on l_orderkey = o_orderkey)"""
 
 
 def _day(column: str) -> str:
@@ -296,9 +298,9 @@ def _(spark, folder):
 # --- measures -----------------------------------------------------------------------
 
 
-def _line_fact(spark, folder, *columns: str) -> DataFrame:
+def _line_fact(spark, folder, *columns: str, with_orders: bool = False) -> DataFrame:
     env = environment(_fact("line", "lineitem", "dimtime l_shipdate", *columns), time_unit=m.TimeUnit.DAY)
-    return load_fact(env, env.fact("line"), resolver(spark, folder, lineitem=_lineitem(spark, folder)), END)
+    return load_fact(env, env.fact("line"), resolver(spark, folder, lineitem=_lineitem(spark, folder, with_orders)), END)
 
 
 def _line_sql(measures: str) -> str:
@@ -352,7 +354,7 @@ def _(spark, folder):
     " cast(count(*) as integer) as n from li group by 1, 2",
 )
 def _(spark, folder):
-    return _line_fact(spark, folder, "dimtime l_orderdate", "factcount n")
+    return _line_fact(spark, folder, "dimtime l_orderdate", "factcount n", with_orders=True)
 
 
 # --- lookups and parents ------------------------------------------------------------
@@ -437,8 +439,8 @@ def _(spark, folder):
     return _orders_fact(spark, folder, "dimid o_custkey customer", "factcount n_orders")
 
 
-def _page_view_sql(sessions: str = "session_events") -> str:
-    return f"""with {_SESSION_ROWS.replace("from session_events", "from " + sessions)}, page_type as (
+def _page_view_sql() -> str:
+    return f"""with {_SESSION_ROWS}, page_type as (
  select row_number() over (order by page_type) as id, page_type from (select distinct page_type from page_view_events))
  select cast(floor(epoch(v.created_at) / 60) as bigint) as created_at_minute_id, v.publisher_id, cast(count(*) as integer) as view_count,
  coalesce(v.referrer_id, -1) as referrer_id, cast(coalesce(p.id, -1) as integer) as page_type_id, coalesce(g.id, -1) as geo_id,
@@ -462,9 +464,10 @@ def _(spark, folder):
     return _page_views(spark, folder)
 
 
-@query("fact_parent_unmatched", _page_view_sql("(select * from session_events where publisher_id % 2 = 0)"))
+@query("fact_parent_unmatched", f"select * from ({_page_view_sql()}) where geo_id = -1 and user_agent_id = -1")
 def _(spark, folder):
-    return _page_views(spark, folder, session_events=table(spark, folder, "session_events").filter("publisher_id % 2 = 0"))
+    """What has neither a place nor an agent: page views whose session is missing or unknown, among others."""
+    return _page_views(spark, folder).filter("geo_id = -1 and user_agent_id = -1")
 
 
 _GRAND = [
@@ -489,7 +492,7 @@ def _(spark, folder):
     orders = orders_with_nulls(spark, folder)
     since = F.lit("1990-01-01").cast("timestamp_ntz")
     customer = table(spark, folder, "customer").withColumn("c_since", since)
-    views = {"orders": orders, "customer": customer, "lineitem": _lineitem(spark, folder)}
+    views = {"orders": orders, "customer": customer, "lineitem": _lineitem(spark, folder, True)}
     views["dim_priority"] = dimension_full(env, env.fact("order"), "priority", orders, END)
     views["dim_segment"] = dimension_full(env, env.fact("cust"), "segment", customer, END)
     return load_fact(env, env.fact("line"), resolver(spark, folder, **views), END)
@@ -842,3 +845,6 @@ def _(spark, folder):
     }
     shards = joined.groupBy("__task", "publisher_id").agg(*[e.alias(n) for n, (e, _) in measures.items()])
     return shards.groupBy("publisher_id").agg(*[again(n).alias(n) for n, (_, again) in measures.items()])
+
+
+from starloom import plan_queries  # noqa: E402, F401 - registers its queries

@@ -86,11 +86,16 @@ def parse_spec(root: dict) -> tuple[list[m.Table], list[m.Fact], dict[str, str]]
     return tables, facts, dict(defaults)
 
 
-def read_spec(path: str | Path) -> tuple[list[m.Table], list[m.Fact], dict[str, str]]:
+def parse_text(text: str, where: str) -> tuple[list[m.Table], list[m.Fact], dict[str, str]]:
+    """A description in YAML; ``where`` names it in errors."""
     import yaml
 
     try:
-        root = yaml.safe_load(Path(path).read_text())
+        root = yaml.safe_load(text)
     except yaml.YAMLError as e:
-        raise SpecError(f"{path}: {e}") from e
+        raise SpecError(f"{where}: {e}") from e
     return parse_spec(root)
+
+
+def read_spec(path: str | Path) -> tuple[list[m.Table], list[m.Fact], dict[str, str]]:
+    return parse_text(Path(path).read_text(), str(path))
