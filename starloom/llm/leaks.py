@@ -320,7 +320,7 @@ def _with_words(texts: DataFrame, words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found)], names=["__id", "word"])
 
     held = texts.select("id", "text").mapInArrow(distinct, "__id bigint, word string").join(words, "word")
-    lists = held.groupBy("__id").agg(F.collect_list("word").alias("known"), F.collect_list(F.when("name", F.col("word"))).alias("names"))
+    lists = held.groupBy("__id").agg(F.collect_list("word").alias("known"), F.collect_list(F.when(F.col("name"), F.col("word"))).alias("names"))
     return texts.join(lists, F.col("id").eqNullSafe(F.col("__id")), "left").select("id", "text", "known", "names")
 
 

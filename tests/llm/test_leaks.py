@@ -89,3 +89,114 @@ def test_an_item_held_twice_with_other_numbers(spark):
     for find in (lk.document_matches, lk.document_matches_shuffled):
         m = {r["doc_id"]: r for r in find(d, i).collect()}
         assert m[1]["consistent"] and not m[2]["consistent"]
+
+
+# --- planted copies of the tables' own items ----------------------------------------------------
+
+NEW_NAMES = "Xandor Quibble Zemlor Thrapston Vexley Morwenna Ballantyr Osgood Pellwick Grantham".split()
+FILLERS = "merge sort of the queue was slow before this change and nobody had looked at it for a while because the tests were green anyway".split()
+
+
+def reworded(rng, passage, names, double=False):
+    """Other numbers and names, the same for the same."""
+    fill = {}
+
+    def other(m):
+        w = m[0]
+        low = w.lower()
+        if low.isnumeric():
+            return fill.setdefault(low, str(rng.randrange(2, 990)))
+        if low in names and w[0].isupper():
+            new = " ".join(rng.sample(NEW_NAMES, 2)) if double else rng.choice(NEW_NAMES)
+            return fill.setdefault(low, new)
+        return w
+
+    return re.sub(r"[^\W_]+", other, passage)
+
+
+def planted(spark, folder, seed=5):
+    items = [(r["item_id"], r["passage"]) for r in spark.read.parquet(f"{folder}/eval_items.parquet").collect()]
+    prose = [(i, p) for i, p in items if not p.startswith("def ") and sum(c.isdigit() for c in p) > 3]
+    names = lk.names_of([p for _, p in items])
+    rng = random.Random(seed)
+    docs, truth = [], {}
+
+    def add(kind, item, text):
+        noise = lambda: " ".join(rng.sample(FILLERS, 14))
+        docs.append((len(docs), f"{noise()}\n{text}\n{noise()}"))
+        truth[len(docs) - 1] = (kind, item)
+
+    for i, p in rng.sample(prose, 60):
+        new = lambda **k: reworded(rng, p, names, **k)
+        add("once", i, new())
+        add("twice", i, new() + "\n" + new())
+        add("diff", i, "-" + new() + "\n+" + new())
+        add("upper", i, new().upper())
+        add("double names", i, new(double=True))
+        add("wrapped", i, "\n".join(" * " + " ".join(w) for w in (lambda x: [x[a : a + 7] for a in range(0, len(x), 7)])(new().split())))
+    # no leaks: the words between the slots are other ones, in every dozen
+    for i, p in rng.sample(prose, 60):
+        words = reworded(rng, p, names).split()
+        for a in range(0, len(words), 9):
+            words[a] = rng.choice(["heuristic", "lattice", "marmalade", "tangent", "oboe"])
+        add("none", None, " ".join(words))
+    # no leaks: what is one value in the item is another one at each place
+    for i, p in rng.sample(prose, 60):
+        low = [w.lower() for w in lk.words_of(p)]
+        if len({w for w in low if low.count(w) > 1 and (w.isnumeric() or w in names)}) > 0:
+            rest = iter(range(1000, 9999))
+            text = re.sub(r"[^\W_]+", lambda m: str(next(rest)) if m[0].isnumeric() else f"Name{next(rest)}x" if m[0].lower() in names and m[0][0].isupper() else m[0], p)
+            add("inconsistent", i, text)
+    return docs, truth, items
+
+
+def test_recall_and_precision_of_reworded_copies(spark, small):
+    docs, truth, items = planted(spark, small)
+    passages = dict(items)
+    d, i = tables(spark, docs, items)
+    found = {}
+    for r in lk.template_leaks(lk.document_matches(d, i)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["item_id"])
+    kinds = {}
+    for doc, (kind, item) in truth.items():
+        if kind not in ("none", "inconsistent"):
+            hit, n = kinds.setdefault(kind, [0, 0])
+            kinds[kind] = [hit + (item in found.get(doc, ())), n + 1]
+    assert {k: n for k, (_, n) in kinds.items()} == dict.fromkeys(["once", "twice", "diff", "upper", "double names", "wrapped"], 60)
+    assert all(hit / n >= 0.9 for hit, n in kinds.values()), kinds
+
+    def right(doc, item):
+        """Items may share a paragraph: then a copy of one is a copy of the other's."""
+        kind, planted_item = truth[doc]
+        if kind == "none":
+            return False
+        if kind == "inconsistent":
+            return None
+        mine, theirs = (set(re.split(r"(?<=[.])\s", passages[x])) for x in (planted_item, item))
+        return item == planted_item or bool(mine & theirs)
+
+    judged = [right(d, x) for d, xs in found.items() for x in xs]
+    judged = [x for x in judged if x is not None]
+    assert sum(judged) / len(judged) >= 0.9
+
+
+def test_both_paths_give_the_same_rows(spark, small, monkeypatch):
+    docs, _, items = planted(spark, small, 6)
+    more = [(r["doc_id"] + 10_000, r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    d, i = tables(spark, [*docs, *more, (90_000, None), (90_001, ""), (90_002, "7 " * 300)], [*items, (-1, None), (-2, "8 7 " * 40), (-3, "7 " * 30)])
+    want = sorted(map(tuple, lk.document_matches(d, i).collect()))
+    assert any(x[0] == 90_002 and x[1] == -3 and x[2] for x in want) and not any(x[0] == 90_002 and x[1] == -2 for x in want)
+    assert sorted(map(tuple, lk.document_matches_shuffled(d, i).collect())) == want
+    exact = sorted({(x[0], x[1]) for x in want if x[2]})
+    for find in (lk.document_matches, lk.document_matches_shuffled):
+        assert sorted(map(tuple, lk.shared_passages(find(d, i, reworded=False)).collect())) == exact
+    monkeypatch.setattr(lk, "BROADCAST_WORDS", 10)  # names are names, however many words the items have
+    assert sorted(map(tuple, lk.document_matches_shuffled(d, i).collect())) == want
+
+
+def test_rows_of_numbers_are_quick():
+    items = [(i, " ".join(str(x) for x in range(i, i + 60))) for i in range(50)]
+    side, rng = lk.ItemWindows(items), random.Random(1)
+    row = [str(rng.randrange(10**6)) for _ in range(20_000)]
+    assert list(side.compare(row)) == []
+    assert [m[0] for m in side.compare([str(x) for x in range(60)])] and next(side.compare([str(x) for x in range(12)]))[1] == 1
