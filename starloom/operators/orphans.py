@@ -61,14 +61,16 @@ def dimension_orphans(
 ) -> DataFrame:
     """``dim_table, missing_id`` and the ``carry`` columns, each combination once.
 
-    ``dims`` maps a dimension's name to (fact column, dimension). The missing-value id counts as null.
+    ``dims`` maps a dimension's name to (fact column, dimension). The missing-value id counts as null. A reference is
+    the composite key of dimension and id, so the facts are read once and joined once.
     """
-    parts = []
-    for name, (column, dim) in dims.items():
-        refs = facts.select(F.col(column).alias("missing_id"), *carry).distinct()
-        broken = orphan_references(refs, dim, [("missing_id", "id")], unknown={"missing_id": [missing_id]})
-        parts.append(broken.select(F.lit(name).alias("dim_table"), "missing_id", *carry))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    kinds = {facts.schema[c].dataType for c, _ in dims.values()}
+    kind = kinds.pop() if len(kinds) == 1 else "bigint"
+    one = [F.struct(F.lit(n).alias("dim_table"), F.col(c).cast(kind).alias("missing_id")) for n, (c, _) in dims.items()]
+    refs = facts.select(F.explode(F.array(*one)).alias("__ref"), *carry).select("__ref.*", *carry).filter("missing_id is not null").distinct()
+    rows = [d.select(F.lit(n).alias("__dim"), F.col("id").cast(kind).alias("__id")) for n, (_, d) in dims.items()]
+    target = reduce(lambda a, b: a.unionByName(b), rows)
+    return orphan_references(refs, target, [("dim_table", "__dim"), ("missing_id", "__id")], unknown={"missing_id": [missing_id]})
 
 
 def orphan_counts(orphans: DataFrame, period: Column, changes: DataFrame | None = None) -> DataFrame:

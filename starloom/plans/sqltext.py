@@ -61,7 +61,9 @@ def dimension_sql(env: m.Env, fact: m.Fact, dim: str, mode: m.Mode) -> str:
 
 
 def fact_sql(env: m.Env, fact: m.Fact, mode: m.Mode) -> str:
-    """Statement that loads a fact table: keys and inputs row by row, then one aggregation, sketches joined in."""
+    """Statement that loads a fact table: keys and inputs row by row, then one aggregation. With distinct counts there are two:
+    rows are grouped by register first, each sketch's registers under its own number, and their partial results
+    per key after that, so that the sources are read once."""
     s, source = env.settings, env.table(fact.table)
     target = derive.fact_table(env, fact)
     dims = derive.all_dimension_tables(env, fact)
@@ -71,8 +73,9 @@ def fact_sql(env: m.Env, fact: m.Fact, mode: m.Mode) -> str:
 
     keys: dict[str, str] = {}
     inputs: dict[str, str] = {}
-    outputs: dict[str, str] = {}
-    sketches: list[str] = []
+    first: dict[str, str] = {}  # aggregates over rows
+    again: dict[str, str] = {}  # over the results of the first
+    sketches: dict[str, str] = {}
     for i, c in enumerate(fact.columns):
         at = _name(f"in{i}")
         match c:
@@ -82,20 +85,21 @@ def fact_sql(env: m.Env, fact: m.Fact, mode: m.Mode) -> str:
                 keys[c.column] = _value(env, source, c.column, "s0")
             case m.FactCountDistinct():
                 inputs[f"in{i}"] = f"s0.{_name(c.source or source.primary_key())}"
-                sketches.append(f"in{i}")
-                outputs[c.column] = f"coalesce(r{i}.registers, '{{}}')"
+                sketches[c.column] = at
             case m.Measure():
                 if c.source is not None:
                     inputs[f"in{i}"] = f"s0.{_name(c.source)}"
+                every = "count(case when r.s = 0 then 1 end)" if fact.of_kind(m.FactCountDistinct) else "count(*)"
+                own = f"case when r.s = 0 then {at} end" if fact.of_kind(m.FactCountDistinct) else at
                 match c:
                     case m.FactCount():
-                        outputs[c.column] = "count(*)" if c.source is None else f"count({at})"
+                        first[c.column], again[c.column] = every if c.source is None else f"count({own})", "sum"
                     case m.FactAverage():
-                        outputs[c.column + s.avg_count_suffix] = f"count({at})"
-                        outputs[c.column + s.avg_sum_suffix] = f"sum({at})"
+                        first[c.column + s.avg_count_suffix], again[c.column + s.avg_count_suffix] = f"count({own})", "sum"
+                        first[c.column + s.avg_sum_suffix], again[c.column + s.avg_sum_suffix] = f"sum({own})", "sum"
                     case _:
                         how = {m.FactSum: "sum", m.FactMax: "max", m.FactMin: "min"}[type(c)]
-                        outputs[c.column] = f"{how}({at})"
+                        first[c.column], again[c.column] = f"{how}({own})", how
     for owner, table in dims:
         name = derive.reference_column(env, owner, table)
         a = alias[owner.table]
@@ -117,27 +121,26 @@ def fact_sql(env: m.Env, fact: m.Fact, mode: m.Mode) -> str:
     items = ",\n    ".join(f"{e} as {_name(k)}" for k, e in (keys | inputs).items())
     by = ", ".join(_name(k) for k in keys)
     ctes = [f"keyed as (\n  select\n    {items}\n  from {_name(fact.table)} s0{joins}\n  where {_window('s0.' + _name(fact.time_column()), mode)}\n)"]
-    plain = {k: v for k, v in outputs.items() if not v.startswith("coalesce(r")}
-    measures = "".join(f", {v} as {_name(k)}" for k, v in plain.items())
-    ctes.append(f"grouped as (\n  select {by}{measures}\n  from keyed group by {by}\n)")
-    buckets, sides = bucket_count(s.distinct_error_rate), ""
-    for at in sketches:
-        h = f"cast(conv(substr(md5(cast(cast({_name(at)} as string) as binary)), 1, 8), 16, 10) as bigint)"
-        rows = (
-            f"select {by}, {h} & {buckets - 1} as bnum, cast(32 - length(bin(min({h} & 2147483647))) as int) as rho\n"
-            f"    from keyed where {_name(at)} is not null group by {by}, {h} & {buckets - 1}"
-        )
-        pairs = "to_json(map_from_entries(sort_array(collect_list(struct(cast(bnum as string) as k, rho as v)))))"
-        r = f"r{at.removeprefix('in')}"
-        ctes.append(f"{r} as (\n  select {by}, {pairs} as registers from (\n    {rows}\n  ) group by {by}\n)")
-        sides += f"\nleft join {r} on " + " and ".join(f"g.{_name(k)} <=> {r}.{_name(k)}" for k in keys)
+    measures = "".join(f", {v} as {_name(k)}" for k, v in first.items())
+    rows = "keyed"
+    if sketches:
+        buckets = bucket_count(s.distinct_error_rate)
+        entries = []
+        for n, at in enumerate(sketches.values()):
+            h = f"cast(conv(substr(md5(cast(cast({at} as string) as binary)), 1, 8), 16, 10) as bigint)"
+            entries.append(f"named_struct('s', {n}, 'b', {h} & {buckets - 1}, 'low', {h} & 2147483647)")
+        ctes.append(f"spread as (\n  select *, explode(array({(',' + chr(10) + '    ').join(entries)})) as r\n  from keyed\n)")
+        rho = "cast(32 - length(bin(min(r.low))) as int) as rho"
+        ctes.append(f"by_register as (\n  select {by}, r.s as s, r.b as b{measures}, {rho}\n  from spread group by {by}, r.s, r.b\n)")
+        measures = "".join(f", {again[k]}({_name(k)}) as {_name(k)}" for k in first)
+        for n, name in enumerate(sketches):
+            own = f"case when s = {n} and b is not null then struct(cast(b as string) as k, rho as v) end"
+            measures += f", to_json(map_from_entries(sort_array(collect_list({own})))) as {_name(name)}"
+        rows = "by_register"
+    ctes.append(f"grouped as (\n  select {by}{measures}\n  from {rows} group by {by}\n)")
     columns = ", ".join(_name(c.name) for c in target.columns)
-
-    def out(c: m.Column) -> str:
-        e = outputs.get(c.name, "")
-        return e if e.startswith("coalesce(r") else _cast(f"g.{_name(c.name)}", c.type)
-
+    out = ", ".join(_cast(f"g.{_name(c.name)}", c.type) for c in target.columns)
     return (
         f"insert into {_name(derive.suffixed(env, mode, target.name))} ({columns})\nwith {(',' + chr(10)).join(ctes)}\n"
-        f"select {', '.join(out(c) for c in target.columns)}\nfrom grouped g{sides}\n;\n"
+        f"select {out}\nfrom grouped g\n;\n"
     )
