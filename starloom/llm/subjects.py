@@ -40,6 +40,8 @@ TERM_SHARE = 1e-4
 #: Share of all documents that holds a term from which the decomposition's subspace is found.
 CORE_SHARE = 1e-3
 DIMENSIONS = 32
+#: Terms whose sums travel together.
+BLOCK = 1024
 #: A term is folded in if the truncated decomposition keeps less than this share of its length or
 #: leaves it further than this cosine from every centroid, and if it is this uneven.
 CAPTURED = 0.5
@@ -52,7 +54,7 @@ TERM_ROUNDS = 2
 SVD_ROUNDS = 2
 CORPUS_ROUNDS = 2
 #: Terms spread more evenly over subjects than this (0 evenly, 1 in a single one) carry no subject.
-UNEVENNESS = 0.45
+UNEVENNESS = 0.55
 #: Least cosine of a unit, and of a document that takes part in refinement.
 UNIT_COSINE = 0.3
 DOCUMENT_COSINE = 0.7
@@ -243,10 +245,10 @@ def _held_by(tokens: DataFrame, known: np.ndarray) -> DataFrame:
     side = tokens.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = side.value
+        known, table = side.value, _table(side.value)
         for batch in batches:
             flat, lengths = _arrays(batch.column(1))
-            at, on = _positions(known, flat)
+            at, on = _positions(known, flat, table)
             pairs = np.unique((np.repeat(np.arange(len(lengths)), lengths)[on] << 32) + at[on])
             n = np.bincount(pairs >> 32, minlength=len(lengths))
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.r_[0, np.cumsum(n)], pairs & 0xFFFFFFFF)], names=["doc_id", "held"])
@@ -334,15 +336,15 @@ def _term_sums(features: DataFrame, weight: np.ndarray, k: int, points, only: np
     """For the matrix A of all documents by terms, and a point of ``k`` numbers for each document: A' times the
     points, the squared lengths of A's columns, and the shares in them. ``points`` is called with the ids,
     rows, columns and values of A in a batch and gives the points and a share for each document. ``only``: the terms wanted."""
-    names = [f"z{d}" for d in range(k)]
     wanted = np.arange(len(weight)) if only is None else only
     place = np.full(len(weight), -1)
     place[wanted] = np.arange(len(wanted))
     side = features.sparkSession.sparkContext.broadcast((weight, place, points))
+    n_blocks = -(-len(wanted) // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, place, points = side.value
-        n = int(place.max(initial=-1)) + 1
+        n = n_blocks * BLOCK
         sums = np.zeros((n, k + 2))
         for batch in batches:
             flat, lengths = _arrays(batch.column(1))
@@ -354,18 +356,29 @@ def _term_sums(features: DataFrame, weight: np.ndarray, k: int, points, only: np
             sums[:, :k] += _spread(at[on], rows[on], values[on], y, n)
             sums[:, k] += np.bincount(at[on], weights=values[on] ** 2, minlength=n)
             sums[:, k + 1] += np.bincount(at[on], weights=shares[rows[on]], minlength=n)
-        met = np.flatnonzero(sums[:, k])
-        columns = [pa.array(met, pa.int32()), *(pa.array(sums[met, d]) for d in range(k + 2))]
-        yield pa.RecordBatch.from_arrays(columns, names=["t", *names, "square", "share"])
-
-    ddl = "t int, " + ", ".join(f"{x} double" for x in [*names, "square", "share"])
-    parts = _few(features.select("doc_id", "terms")).mapInArrow(run, ddl)
-    got = parts.groupBy("t").agg(*[F.sum(x).alias(x) for x in [*names, "square", "share"]]).toArrow()  # a row for each wanted term
-    out = np.zeros((len(wanted), k + 2))
-    out[got.column("t").to_numpy()] = np.stack([c.to_numpy() for c in got.columns[1:]], 1)
+        yield _blocks((b, x.astype(np.float32)) for b, x in enumerate(sums.reshape(n_blocks, -1)) if x.any())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[b] = sums.get(b, 0.0) + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+        yield _blocks(sums.items())
+
+    parts = _few(features.select("doc_id", "terms")).mapInArrow(run, "b int, sums binary")
+    got = parts.repartition("b").mapInArrow(add, "b int, sums binary").toArrow()  # a row for each BLOCK wanted terms
+    out = np.zeros((n_blocks * BLOCK, k + 2))
+    for b, x in zip(got.column("b").to_pylist(), got.column("sums")):
+        out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(x.as_buffer(), np.float64).reshape(BLOCK, k + 2)
+    out = out[: len(wanted)]
     return out[:, :k], out[:, k], out[:, k + 1]
 
 
+def _blocks(rows) -> pa.RecordBatch:
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["b", "sums"])
+
+
 @dataclass
 class _Projected:
     """Points of documents: their rows of A times ``q``, which has a row for each term of ``place``."""
@@ -538,12 +551,29 @@ def _lists(offsets: np.ndarray, flat) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _positions(known: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each number stands in ``known`` (sorted), and whether it does."""
+def _positions(known: np.ndarray, flat: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each number stands in ``known`` (sorted), and whether it does. ``table`` as ``_table`` makes it."""
     if not len(known):
         return np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
-    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-    return at, known[at] == flat
+    first, crowded = table or _table(known)
+    slot = flat & (len(first) - 1)
+    at = first[slot]
+    on = known[at] == flat
+    rest = np.flatnonzero(crowded[slot] & ~on)
+    at[rest] = np.minimum(np.searchsorted(known, flat[rest]), len(known) - 1)
+    on[rest] = known[at[rest]] == flat[rest]
+    return at, on
+
+
+def _table(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the low bits of a number, the place of a known one that has them, and whether several have."""
+    size = 1 << max(4, (16 * len(known)).bit_length())
+    first, crowded = np.zeros(size, np.int64), np.zeros(size, bool)
+    if len(known):
+        slot = known & (size - 1)
+        first[slot] = np.arange(len(known))
+        crowded[:] = np.bincount(slot, minlength=size) > 1
+    return first, crowded
 
 
 def _tokens_of(docs: DataFrame) -> DataFrame:
@@ -572,12 +602,12 @@ def _positions_of(tokens: DataFrame, known: np.ndarray) -> DataFrame:
     side = tokens.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = side.value
+        known, table = side.value, _table(side.value)
         for batch in batches:
             flat, lengths = _arrays(batch.column(1))
             sizes, _ = _arrays(batch.column(2))
             doc, unit = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(sizes)), sizes)
-            at, on = _positions(known, flat)
+            at, on = _positions(known, flat, table)
             at, doc, unit = at[on], doc[on], unit[on]
             last = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) if len(unit) else np.empty(0, np.int64)
             out = np.insert(at, last + 1, -1)
