@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,8 @@ def orphan_references(
     """Rows of ``refs`` whose reference, ``pairs`` of (column, column of target), breaks the declared rule.
 
     References are grouped by which of their columns are null, and each group is anti-joined with
-    the target on the columns that are not:
+    the target on the columns that are not. The mask of nulls is part of the join key and the target is laid out once
+    for each mask, so that both sides are read once and joined once:
 
     * simple: a reference with any null is satisfied,
     * partial: a reference is satisfied if some target row agrees in the columns that are not null,
@@ -40,20 +40,19 @@ def orphan_references(
         listed = unknown.get(c)
         return F.col(c).isNull() | F.col(c).isin(listed) if listed else F.col(c).isNull()
 
-    parts = []
-    for mask in product([False, True], repeat=len(pairs)):
-        if all(mask) or (match == "simple" and any(mask)):
-            continue
-        group = refs.filter(reduce(lambda a, b: a & b, [missing(c) if null else ~missing(c) for null, (c, _) in zip(mask, pairs)]))
-        if match == "full" and any(mask):
-            parts.append(group)
-            continue
-        present = [(c, t) for null, (c, t) in zip(mask, pairs) if not null]
-        keys = target.select(*[F.col(t).alias(f"__target_{i}") for i, (_, t) in enumerate(present)])
-        keys = keys.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys.columns]))
-        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__target_{i}") for i, (c, _) in enumerate(present)])
-        parts.append(group.join(keys, on, "left_anti"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    every = (1 << len(pairs)) - 1
+    mask = reduce(lambda a, b: a + b, [F.when(missing(c), 1 << i).otherwise(0) for i, (c, _) in enumerate(pairs)])
+    rows = refs.withColumn("__mask", mask).filter("__mask = 0" if match == "simple" else f"__mask <> {every}")
+    # under the full rule nothing answers a reference with some nulls: it is broken
+    masks = range(every) if match == "partial" else [0]
+    laid = target.select(F.explode(F.array(*map(F.lit, masks))).alias("__tm"), *[F.col(t).alias(f"__target_{i}") for i, (_, t) in enumerate(pairs)])
+    for i in range(len(pairs)):
+        masked = F.col("__tm").bitwiseAND(F.lit(1 << i)) > 0
+        laid = laid.filter(masked | F.col(f"__target_{i}").isNotNull()).withColumn(f"__target_{i}", F.when(~masked, F.col(f"__target_{i}")))
+    on = F.col("__mask") == F.col("__tm")
+    for i, (c, _) in enumerate(pairs):
+        on = on & F.when(~missing(c), F.col(c)).eqNullSafe(F.col(f"__target_{i}"))
+    return rows.join(laid, on, "left_anti").drop("__mask")
 
 
 def dimension_orphans(

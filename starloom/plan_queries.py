@@ -521,3 +521,21 @@ def _(spark, folder):
     build.incremental_refresh(env, store, q._CUT1, build.BEGINNING)
     build.full_refresh(env, store, q.END)
     return _told(store, "fact_event_by_day")
+
+
+@q.query(
+    "tenant_layout",
+    "select publisher_id, cast(count(*) as bigint) as n_sessions, true as files_in_order from session_events group by 1",
+)
+def _(spark, folder):
+    """A fact with a tenant, written in ranges of (tenant, time): no file reaches into the range of another."""
+    env = q.environment(q._fact("load", "session_events", "dimtime created_at", "tenantid publisher_id", "factcount n"))
+    store = TableStore(spark, q._scratch(spark, "layout"), folder)
+    build.full_refresh(env, store, q.END)
+    name = derive.fact_table_name(env.settings, env.facts[0])
+    key = F.struct("publisher_id", "created_at_minute_id")
+    rows = spark.read.parquet(*[f"{store.path(name)}/{f}" for f in store.table(name).latest().files])
+    ranges = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    ranges = sorted((tuple(r["lo"]), tuple(r["hi"])) for r in ranges.collect())  # a row for each file
+    in_order = all(hi < lo for (_, hi), (lo, _) in zip(ranges, ranges[1:]))
+    return store.read(name).groupBy("publisher_id").agg(F.sum("n").cast("bigint").alias("n_sessions"), F.lit(in_order).alias("files_in_order"))

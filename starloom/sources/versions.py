@@ -211,8 +211,13 @@ class VersionedTable:
         paths = [f"{self.root}/{f}" if f.startswith("data/") else unquote(f) for f in files]
         path = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
         own = F.concat(F.lit("data/"), F.element_at(F.split(path, "/data/"), -1))
-        elsewhere = not any(f.startswith("data/") for f in files)
-        name = path if elsewhere else F.when(path.contains(self.root.split(":", 1)[-1].lstrip("/") + "/data/"), own).otherwise(path)
+        ours = [f.startswith("data/") for f in files]
+        if all(ours):
+            name = own
+        elif any(ours):
+            name = F.when(path.rlike("/data/[0-9a-f]{32}/[^/]+$"), own).otherwise(path)
+        else:
+            name = path
         return self.spark.read.parquet(*paths).select("*", name.alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
     def _words(self, vectors: dict[str, str | None]) -> DataFrame | None:

@@ -215,6 +215,25 @@ def test_sessions_by_versions(spark, tmp_path):
     assert ch.pending_sessions(ch.process_sessions(read.filter("arrived_at is not null"), every, str(tmp_path / "r"))).count() == 0
 
 
+def test_sessions_of_empty_tables_by_versions(spark, tmp_path):
+    folder = str(tmp_path / "none.parquet")
+    spark.createDataFrame([], EVENTS).write.parquet(folder)
+    got = ch.pending_sessions(ch.process_sessions(spark.read.parquet(folder), spark.createDataFrame([], LOG), str(tmp_path / "p")))
+    assert got.count() == 0 and got.columns == ["session_id", "publisher_id", "created_at_minute_id"]
+
+
+def test_adopted_and_own_files(spark, tmp_path):
+    folder = str(tmp_path / "else where.parquet")
+    spark.range(10).write.parquet(folder)
+    table = ch.VersionedTable(spark, f"{tmp_path}/a table")
+    v1 = table.adopt(spark.read.parquet(folder).inputFiles(), lambda rows: rows.filter("id > 7"))
+    v2 = table.append(spark.range(20, 25))
+    v3 = table.delete_where(F.col("id").isin(3, 21))
+    assert sorted(r[0] for r in table.read().collect()) == [0, 1, 2, 4, 5, 6, 7, 20, 22, 23, 24]
+    assert rows(table.delta(v2, v3)) == [(21, "delete"), (3, "delete")] and table.delta(v1, v3).filter("_change = 'delete'").count() == 1
+    assert spark.read.parquet(folder).count() == 10  # what was adopted stays as it is
+
+
 # --- 4: rolling totals ---------------------------------------------------------------------
 
 
