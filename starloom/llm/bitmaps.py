@@ -10,7 +10,7 @@ which gives a standard error near 0.9 / sqrt(b): 2 % for the 2,048 bits used her
 to b * 2 ** (LEVELS - 1). Sets far smaller than b are counted almost exactly: two identifiers share a
 bit now and then, which makes a count of a few too small by one.
 
-Everything is built from the engine's own aggregates (bit_or over 63-bit words), so partial
+Everything is built from the engine's own aggregates (bit_or over words of 32 bits), so partial
 aggregation merges the bitmaps of a task before anything is shuffled, and a hot group sends no
 more than one bitmap from each task.
 """

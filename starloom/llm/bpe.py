@@ -210,13 +210,18 @@ def encode_corpus(
     """``doc_id, ids`` and the ``carry`` columns: one row for each document, ids without special tokens.
 
     Null and empty texts have no ids: an empty list. Strings of special tokens are ordinary text.
-    ``path`` names the vocabulary file (rank lines) on every executor.
+    ``path`` names the vocabulary file (rank lines) on every executor; without it each worker looks the
+    public one up for itself.
     """
-    path = path or default_path()
+    seen_here = path or default_path()
     names = [doc_id, "ids", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_bytes
+        try:
+            there = path or default_path()
+        except ImportError:  # a worker without the lookup has the file where the driver has it
+            there = seen_here
+        encode = encoder(there).encode_bytes
         for batch in batches:
             parts = [encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(parts) + 1, np.int32)
