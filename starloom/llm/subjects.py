@@ -72,8 +72,7 @@ _HEADERS = (
 _SVN = re.compile(r"r\d+ \| ")
 _SUBJECT = re.compile(r"Subject: (?:\[[^\]]*\] ?)?")
 _SENTENCE = re.compile(r"(?<=[.!?]) +|(?<=[.!?][)\"']) +")
-_WORD = re.compile(r"[^\W\d_]+")
-_HUMP = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
+_WORD = re.compile(r"[A-Z]*[^\W\d_A-Z]+|[A-Z]+")  # a hump in an identifier begins a word
 
 
 def units_of(text: str) -> list[str]:
@@ -104,11 +103,18 @@ def units_of(text: str) -> list[str]:
 
 
 def words_of(unit: str) -> list[str]:
-    return _WORD.findall(_HUMP.sub(" ", unit).lower())
+    return [w.lower() for w in _WORD.findall(unit)]
+
+
+def pair_numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Term numbers of word pairs, from those of their words."""
+    x = (a.astype(np.int64) * 0x9E3779B1 + b.astype(np.int64) * 0x85EBCA6B + 0x27D4EB2F) & 0xFFFFFFFF
+    x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+    return ((x ^ (x >> 12)) - (1 << 31)).astype(np.int32)
 
 
 class Terms:
-    """Term numbers of units, kept for units that repeat."""
+    """Term numbers of units, kept for units and words that repeat."""
 
     KEPT = 100_000
 
@@ -116,26 +122,41 @@ class Terms:
         self.kept: dict[str, list[int]] = {}
         self.numbers: dict[str, int] = {}
 
-    def _number(self, term: str) -> int:
-        n = self.numbers.get(term)
-        if n is None:
-            if len(self.numbers) >= 4 * self.KEPT:
-                self.numbers.clear()
-            n = self.numbers[term] = zlib.crc32(term.encode("utf-8", "replace")) - (1 << 31)
-        return n
-
-    def of(self, unit: str) -> list[int]:
+    def words(self, unit: str) -> list[int]:
+        """Numbers of a unit's words."""
         got = self.kept.get(unit)
         if got is None:
-            words = words_of(unit)
-            number = self._number
-            got = [number(w) for w in words]
-            got += [number(a + " " + b) for a, b in zip(words, words[1:])]
+            words = _WORD.findall(unit)
+            got = list(map(self.numbers.get, words))
+            if None in got:
+                if len(self.numbers) >= 4 * self.KEPT:
+                    self.numbers.clear()
+                for i, n in enumerate(got):
+                    if n is None:
+                        got[i] = self.numbers[words[i]] = zlib.crc32(words[i].lower().encode("utf-8", "replace")) - (1 << 31)
             if len(self.kept) >= self.KEPT:
                 self.kept.clear()
             self.kept[unit] = got
         return got
 
+    def of(self, unit: str) -> list[int]:
+        """Numbers of a unit's words, then of its word pairs."""
+        words = np.array(self.words(unit), np.int32)
+        return [*words.tolist(), *pair_numbers(words[:-1], words[1:]).tolist()]
+
+
+def with_pairs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` of units of ``sizes`` (none empty), one after another, with the pairs of each unit behind its words; the new sizes."""
+    ends = np.cumsum(sizes)
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.r_[0, np.cumsum(2 * sizes - 1)[:-1]] if len(sizes) else np.empty(0, np.int64)
+    out = np.empty(int((2 * sizes - 1).sum()), np.int32)
+    place = np.arange(len(words)) - (ends - sizes)[unit] + starts[unit]
+    out[place] = words
+    first = np.flatnonzero(np.arange(len(words)) < (ends - 1)[unit])  # words with another one behind
+    out[place[first] + sizes[unit[first]]] = pair_numbers(words[first], words[first + 1])
+    return out, 2 * sizes - 1
+
 
 # --- fitting ----------------------------------------------------------------------------
 
@@ -233,43 +254,29 @@ def known_terms(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Term numbers that enough of all documents hold, sorted, the documents that hold each; the number
     of all documents. There are no more of them than a document has terms in the mean, over TERM_SHARE."""
     n_docs = tokens.count()
-    held = tokens.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    held = tokens.select(F.explode("held").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     got = held.filter(F.col("n") >= max(TERM_DOCUMENTS, math.ceil(TERM_SHARE * n_docs))).toArrow()
     terms, n = (got.column(c).to_numpy().astype(np.int64) for c in ("t", "n"))
     order = np.argsort(terms)
     return terms[order], n[order], n_docs
 
 
-def _held_by(tokens: DataFrame, known: np.ndarray) -> DataFrame:
-    """``doc_id, held``: positions of the known terms that a document holds, each once."""
-    side = tokens.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = side.value, _table(side.value)
-        for batch in batches:
-            flat, lengths = _arrays(batch.column(1))
-            at, on = _positions(known, flat, table)
-            pairs = np.unique((np.repeat(np.arange(len(lengths)), lengths)[on] << 32) + at[on])
-            n = np.bincount(pairs >> 32, minlength=len(lengths))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.r_[0, np.cumsum(n)], pairs & 0xFFFFFFFF)], names=["doc_id", "held"])
-
-    return tokens.select("doc_id", "terms").mapInArrow(run, "doc_id bigint, held array<int>")
-
-
-def _class_counts(held: DataFrame, seeds: Seeds, telling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _class_counts(tokens: DataFrame, known: np.ndarray, seeds: Seeds, telling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term positions, classes and how many documents of the class hold the term, where there are any;
     documents of each class. Classes of labelled documents come first, then the same for documents that
     were given one. ``telling``: unevenness and the class it leans to of each term; documents
     without labels take on the class that most of theirs lean to, for each term the class that the other terms give."""
     n_classes = seeds.shares.shape[1]
-    side = held.sparkSession.sparkContext.broadcast((seeds, telling))
+    side = tokens.sparkSession.sparkContext.broadcast((known, seeds, telling))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, telling = side.value
+        known, seeds, telling = side.value
+        table = _table(known)
         sizes = np.zeros(2 * n_classes)
         for batch in batches:
-            cols, lengths = _arrays(batch.column(1))
-            rows = np.repeat(np.arange(len(lengths)), lengths)
+            flat, lengths = _arrays(batch.column(1))
+            cols, on = _positions(known, flat, table)
+            rows, cols = np.repeat(np.arange(len(lengths)), lengths)[on], cols[on]
             labels = seeds.of(batch.column(0))
             sizes[:n_classes] += labels.sum(0)
             given = labels.sum(1) > 0
@@ -294,7 +301,7 @@ def _class_counts(held: DataFrame, seeds: Seeds, telling) -> tuple[np.ndarray, n
                 yield _triples(key // (2 * n_classes), key % (2 * n_classes), np.bincount(at, weights=np.concatenate(amounts), minlength=len(key)))
         yield _triples(np.full(2 * n_classes, -1), np.arange(2 * n_classes), sizes)
 
-    sums = held.mapInArrow(run, "s int, d int, x double").groupBy("s", "d").agg(F.sum("x").alias("x")).toArrow()
+    sums = tokens.select("doc_id", "held").mapInArrow(run, "s int, d int, x double").groupBy("s", "d").agg(F.sum("x").alias("x")).toArrow()
     s, d, x = (sums.column(c).to_numpy() for c in ("s", "d", "x"))
     sizes = np.zeros(2 * n_classes)
     sizes[d[s < 0]] = x[s < 0]
@@ -306,16 +313,14 @@ def choose_terms(tokens: DataFrame, seeds: Seeds) -> tuple[np.ndarray, np.ndarra
     """Term numbers that tell subjects (and none of them) apart, sorted, their unevenness, the class each leans to
     and the documents that hold it; the number of all documents. Counted over all documents."""
     terms, n, n_docs = known_terms(tokens)
-    held = staged(_held_by(tokens, terms), "held")
     telling, g, lean, seen = None, np.zeros(len(terms)), np.zeros(len(terms), np.int64), np.zeros(len(terms))
     for _ in range(TERM_ROUNDS + 1):
-        *found, sizes = _class_counts(held, seeds, telling)
+        *found, sizes = _class_counts(tokens, terms, seeds, telling)
         g, lean, seen = _unevenness(*found, sizes, len(terms))
         g = np.where((g >= UNEVENNESS) & (seen > 0), g, 0.0)
         if not g.any():
             break
         telling = g, lean
-    dropped(held)
     keep = g > 0
     return terms[keep], g[keep], lean[keep], n[keep].astype(float), n_docs
 
@@ -577,24 +582,24 @@ def _table(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, terms, units``: term numbers of each document, and how many each of its units has."""
+    """``doc_id, terms, units, held``: term numbers of each document, how many each of its units has, and each number once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            flat, units = array("i"), array("i")
-            flat_at, units_at = [0], [0]
+            flat, units, units_at = array("i"), array("i"), [0]
             for t in batch.column(1).to_pylist():
                 for u in units_of(t) if t else ():
-                    if got := terms.of(u):
+                    if got := terms.words(u):
                         flat.extend(got)
                         units.append(len(got))
-                flat_at.append(len(flat))
                 units_at.append(len(units))
-            lists = [_lists(np.array(o), np.frombuffer(x, np.int32)) for o, x in ((flat_at, flat), (units_at, units))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "terms", "units"])
+            numbers, sizes = with_pairs(np.frombuffer(flat, np.int32), np.frombuffer(units, np.int32).astype(np.int64))
+            offsets = np.r_[0, np.cumsum(sizes)][np.array(units_at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(offsets, numbers), _lists(np.array(units_at), sizes)], names=["doc_id", "terms", "units"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, terms array<int>, units array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, terms array<int>, units array<int>")
+    return rows.withColumn("held", F.array_distinct("terms"))
 
 
 def _positions_of(tokens: DataFrame, known: np.ndarray) -> DataFrame:
