@@ -22,10 +22,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,16 +262,15 @@ def known_terms(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return terms[order], n[order], n_docs
 
 
-def _class_counts(tokens: DataFrame, known: np.ndarray, seeds: Seeds, telling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _class_counts(tokens: DataFrame, given: Broadcast, n_classes: int, telling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term positions, classes and how many documents of the class hold the term, where there are any;
     documents of each class. Classes of labelled documents come first, then the same for documents that
     were given one. ``telling``: unevenness and the class it leans to of each term; documents
     without labels take on the class that most of theirs lean to, for each term the class that the other terms give."""
-    n_classes = seeds.shares.shape[1]
-    side = tokens.sparkSession.sparkContext.broadcast((known, seeds, telling))
+    side = tokens.sparkSession.sparkContext.broadcast(telling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seeds, telling = side.value
+        (known, seeds), telling = given.value, side.value
         table = _table(known)
         sizes = np.zeros(2 * n_classes)
         for batch in batches:
@@ -279,7 +279,7 @@ def _class_counts(tokens: DataFrame, known: np.ndarray, seeds: Seeds, telling) -
             rows, cols = np.repeat(np.arange(len(lengths)), lengths)[on], cols[on]
             labels = seeds.of(batch.column(0))
             sizes[:n_classes] += labels.sum(0)
-            given = labels.sum(1) > 0
+            labelled = labels.sum(1) > 0
             keys, amounts = [], []
             for c in np.flatnonzero(labels.sum(0)):
                 on = np.flatnonzero(labels[rows, c])
@@ -287,13 +287,13 @@ def _class_counts(tokens: DataFrame, known: np.ndarray, seeds: Seeds, telling) -
                 amounts.append(labels[rows[on], c])
             if telling is not None and len(cols):
                 g, lean = telling
-                own, to = g[cols], lean[cols]
+                own, to = g[cols].astype(float), lean[cols].astype(np.int64)
                 votes = np.bincount(rows * n_classes + to, weights=own, minlength=len(lengths) * n_classes).reshape(-1, n_classes)
                 first, best, total = votes.argmax(1), votes.max(1), votes.sum(1)
-                sizes[n_classes:] += np.bincount(first[~given & (best >= 0.8 * total) & (best >= 2.0)], minlength=n_classes)
+                sizes[n_classes:] += np.bincount(first[~labelled & (best >= 0.8 * total) & (best >= 2.0)], minlength=n_classes)
                 # a term's own vote does not count for what it is found with
                 rest = best[rows] - np.where(to == first[rows], own, 0.0)
-                sure = np.flatnonzero(~given[rows] & (rest >= 0.8 * (total[rows] - own)) & (rest >= 2.0))
+                sure = np.flatnonzero(~labelled[rows] & (rest >= 0.8 * (total[rows] - own)) & (rest >= 2.0))
                 keys.append((cols[sure] * 2 + 1) * n_classes + first[rows[sure]])
                 amounts.append(np.ones(len(sure)))
             if keys:
@@ -302,6 +302,7 @@ def _class_counts(tokens: DataFrame, known: np.ndarray, seeds: Seeds, telling) -
         yield _triples(np.full(2 * n_classes, -1), np.arange(2 * n_classes), sizes)
 
     sums = tokens.select("doc_id", "held").mapInArrow(run, "s int, d int, x double").groupBy("s", "d").agg(F.sum("x").alias("x")).toArrow()
+    side.destroy()
     s, d, x = (sums.column(c).to_numpy() for c in ("s", "d", "x"))
     sizes = np.zeros(2 * n_classes)
     sizes[d[s < 0]] = x[s < 0]
@@ -313,14 +314,16 @@ def choose_terms(tokens: DataFrame, seeds: Seeds) -> tuple[np.ndarray, np.ndarra
     """Term numbers that tell subjects (and none of them) apart, sorted, their unevenness, the class each leans to
     and the documents that hold it; the number of all documents. Counted over all documents."""
     terms, n, n_docs = known_terms(tokens)
+    given = tokens.sparkSession.sparkContext.broadcast((terms, seeds))
     telling, g, lean, seen = None, np.zeros(len(terms)), np.zeros(len(terms), np.int64), np.zeros(len(terms))
     for _ in range(TERM_ROUNDS + 1):
-        *found, sizes = _class_counts(tokens, terms, seeds, telling)
+        *found, sizes = _class_counts(tokens, given, seeds.shares.shape[1], telling)
         g, lean, seen = _unevenness(*found, sizes, len(terms))
         g = np.where((g >= UNEVENNESS) & (seen > 0), g, 0.0)
         if not g.any():
             break
-        telling = g, lean
+        telling = g.astype(np.float32), lean.astype(np.int32)
+    given.destroy()
     keep = g > 0
     return terms[keep], g[keep], lean[keep], n[keep].astype(float), n_docs
 
@@ -342,7 +345,7 @@ def _term_sums(features: DataFrame, weight: np.ndarray, k: int, points, only: np
     points, the squared lengths of A's columns, and the shares in them. ``points`` is called with the ids,
     rows, columns and values of A in a batch and gives the points and a share for each document. ``only``: the terms wanted."""
     wanted = np.arange(len(weight)) if only is None else only
-    place = np.full(len(weight), -1)
+    place = np.full(len(weight), -1, np.int32)
     place[wanted] = np.arange(len(wanted))
     side = features.sparkSession.sparkContext.broadcast((weight, place, points))
     n_blocks = -(-len(wanted) // BLOCK)
@@ -372,6 +375,7 @@ def _term_sums(features: DataFrame, weight: np.ndarray, k: int, points, only: np
 
     parts = _few(features.select("doc_id", "terms")).mapInArrow(run, "b int, sums binary")
     got = parts.repartition("b").mapInArrow(add, "b int, sums binary").toArrow()  # a row for each BLOCK wanted terms
+    side.destroy()
     out = np.zeros((n_blocks * BLOCK, k + 2))
     for b, x in zip(got.column("b").to_pylist(), got.column("sums")):
         out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(x.as_buffer(), np.float64).reshape(BLOCK, k + 2)
@@ -417,7 +421,7 @@ def corpus_svd(
     for each round; also the lengths of the matrix's columns. The subspace is found from the ``core`` terms (positions;
     all of them if not given); the rows of the others are folded in: what they hold of the documents' vectors. ``start``: columns to begin with."""
     core = np.arange(len(weight)) if core is None else core
-    place = np.full(len(weight), -1)
+    place = np.full(len(weight), -1, np.int32)
     place[core] = np.arange(len(core))
     k = max(1, min(k, n_docs, len(core)))
     q = np.random.default_rng(seed).standard_normal((len(core), k))
@@ -426,8 +430,8 @@ def corpus_svd(
         q[:, ~q.any(0)] = 1.0
     q = np.linalg.qr(q)[0]
     for _ in range(rounds):
-        q = np.linalg.qr(_term_sums(features, weight, k, _Projected(place, q), core)[0])[0]
-    z, squares, _ = _term_sums(features, weight, k, _Projected(place, q))
+        q = np.linalg.qr(_term_sums(features, weight, k, _Projected(place, q.astype(np.float32)), core)[0])[0]
+    z, squares, _ = _term_sums(features, weight, k, _Projected(place, q.astype(np.float32)))
     inner = q.T @ z[core]
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     values, turn = np.maximum(values[::-1], 0.0), turn[:, ::-1]
@@ -473,7 +477,7 @@ def fit(
 
 def _seed_sums(held: DataFrame, seeds: Seeds, vectors: np.ndarray) -> np.ndarray:
     """For each class the sum of the vectors of the documents that have its label alone."""
-    side = held.sparkSession.sparkContext.broadcast((seeds, vectors))
+    side = held.sparkSession.sparkContext.broadcast((seeds, vectors.astype(np.float32)))
     shape = seeds.shares.shape[1], vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +490,9 @@ def _seed_sums(held: DataFrame, seeds: Seeds, vectors: np.ndarray) -> np.ndarray
             sums += (seeds.of(batch.column(0)) == 1).astype(float).T @ points
         yield _triples(*(x.ravel() for x in np.indices(shape)), sums.ravel())
 
-    return _summed(held.select("doc_id", "terms").mapInArrow(run, "s int, d int, x double"), shape)
+    out = _summed(held.select("doc_id", "terms").mapInArrow(run, "s int, d int, x double"), shape)
+    side.destroy()
+    return out
 
 
 def _triples(s, d, x) -> pa.RecordBatch:
@@ -639,12 +645,12 @@ def labelled_sample(labels: DataFrame, names: list[str]) -> Seeds:
     return Seeds(np.array(sorted(found), np.int64), shares)
 
 
-def _refined(features: DataFrame, model: Model) -> Model:
+def _refined(features: DataFrame, model: Model, vectors: Broadcast) -> Model:
     """Centroids moved to the mean of all documents that are close to them."""
-    side = features.sparkSession.sparkContext.broadcast(model)
+    bare = Model(model.subjects, np.empty(0, np.int64), np.empty(0), model.centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = side.value
+        m = replace(bare, vectors=vectors.value)
         sums = np.zeros(m.centroids.shape)
         for batch in batches:
             points = document_vectors(*_arrays(batch.column(0)), m)
@@ -659,8 +665,8 @@ def _refined(features: DataFrame, model: Model) -> Model:
     return Model(model.subjects, model.terms, model.vectors, _unit_rows(moved).astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame]:
-    """The fitted model, and the corpus as term positions (staged)."""
+def _fitted(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame, Broadcast]:
+    """The fitted model, the corpus as term positions (staged), and the model's vectors as the tasks have them."""
     told = subjects.select("subject", F.col("description") if "description" in subjects.columns else F.lit(None).alias("description"))
     rows = told.groupBy("subject").agg(F.max("description").alias("description")).orderBy("subject").collect()  # a centroid for each is kept anyway
     descriptions = {r["subject"]: r["description"] for r in rows if r["subject"] not in (None, NONE)}
@@ -671,19 +677,25 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Mode
     features = staged(_positions_of(tokens, terms), "subjects")
     dropped(tokens)
     model = fit(features, seeds, terms, g, lean, frequency, n_docs, names, descriptions)
+    vectors = docs.sparkSession.sparkContext.broadcast(model.vectors)
     for _ in range(CORPUS_ROUNDS if names else 0):
-        model = _refined(features, model)
-    return model, features
+        model = _refined(features, model, vectors)
+    return model, features, vectors
+
+
+def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame]:
+    """The fitted model, and the corpus as term positions (staged)."""
+    return _fitted(docs, labels, subjects)[:2]
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """``doc_id, subject``: every subject of each document; documents that tell of none, null and
     empty texts among them, get ``unassigned`` alone. Labels serve as seeds, never as results."""
-    model, features = train(docs, labels, subjects)
-    side = docs.sparkSession.sparkContext.broadcast(model)
+    model, features, vectors = _fitted(docs, labels, subjects)
+    bare = Model(model.subjects, np.empty(0, np.int64), np.empty(0), model.centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = side.value
+        m = replace(bare, vectors=vectors.value)
         names = np.array([*m.subjects, NONE], dtype=object)
         for batch in batches:
             found = document_subjects(*_arrays(batch.column(1)), m)
