@@ -224,3 +224,11 @@ def test_session_settings():
 
     big, small = settings(100_000, 1000, 4), settings(0.1, 2, 4)
     assert int(big["spark.sql.shuffle.partitions"]) == 100_000 and int(small["spark.sql.shuffle.partitions"]) == 24
+
+
+@pytest.mark.parametrize("args", [["--refresh", "full"], ["--refresh", "incremental", "--end", "2024-01-01"], ["--merge"], ["--refresh", "full", "--end", "2024-01-01", "--merge"]])
+def test_bounds_are_asked_for_at_parsing(args, capsys):
+    with pytest.raises(SystemExit):
+        cli.parsed(["in.yaml", "out", *args])
+    assert "need" in capsys.readouterr().err or "--merge" in args
+    assert cli.parsed(["in.yaml", "out", "--refresh", "incremental", "--end", "2024-01-02", "--start", "2024-01-01", "--merge"]).merge
