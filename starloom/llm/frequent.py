@@ -124,16 +124,14 @@ def sketch_parts(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def merged(parts: DataFrame) -> DataFrame:
     """Sketches of any number of tasks or tables as one: at most SLOTS values a bucket and LIGHT counters a field."""
-    heavy = parts.filter("part = 'heavy'").groupBy("field", "at", "item").agg(F.sum("n").alias("n"))
-    heavy = heavy.withColumn("__rank", F.row_number().over(W.partitionBy("field", "at").orderBy(F.desc("n"), "item")))
-    # the values that lose their slot go with the counters: one pass over the buckets for both
-    stays = F.col("__rank") <= SLOTS
-    heavy = heavy.select(
-        "field", F.when(stays, "heavy").otherwise("light").alias("part"), F.when(stays, F.col("at")).otherwise(_light_position(F.col("item"))).alias("at"),
+    sums = parts.groupBy("field", "part", "at", "item").agg(F.sum("n").alias("n"))  # one pass for slots and counters
+    sums = sums.withColumn("__rank", F.row_number().over(W.partitionBy("field", "part", "at").orderBy(F.desc("n"), "item")))
+    stays = (F.col("part") == "light") | (F.col("__rank") <= SLOTS)
+    recombined = sums.select(
+        "field", F.when(stays, F.col("part")).otherwise("light").alias("part"), F.when(stays, F.col("at")).otherwise(_light_position(F.col("item"))).alias("at"),
         F.when(stays, F.col("item")).alias("item"), "n",
     )
-    both = heavy.unionByName(parts.filter("part = 'light'"))
-    return both.groupBy("field", "part", "at", "item").agg(F.sum("n").alias("n"))
+    return recombined.groupBy("field", "part", "at", "item").agg(F.sum("n").alias("n"))
 
 
 def _light_position(item: Column) -> Column:
