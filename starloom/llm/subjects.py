@@ -55,7 +55,10 @@ TERM_ROUNDS = 2
 SVD_ROUNDS = 2
 CORPUS_ROUNDS = 2
 #: Terms spread more evenly over subjects than this (0 evenly, 1 in a single one) carry no subject.
-UNEVENNESS = 0.55
+UNEVENNESS = 0.45
+#: What the unevenness of a unit's terms must add up to for the unit to speak of a subject: a single term that is
+#: only just uneven enough doesn't.
+SPEAKS = 0.6
 #: Least cosine of a unit, and of a document that takes part in refinement.
 UNIT_COSINE = 0.3
 DOCUMENT_COSINE = 0.7
@@ -165,12 +168,13 @@ def with_pairs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 @dataclass
 class Model:
     """``terms``: known term numbers; ``vectors``: their weighted SVD rows; ``centroids``: unit
-    vectors, a row for each of ``subjects``, then one of what is about none of them."""
+    vectors, a row for each of ``subjects``, then one of what is about none of them; ``unevenness`` of the terms."""
 
     subjects: list[str]
     terms: np.ndarray
     vectors: np.ndarray
     centroids: np.ndarray
+    unevenness: np.ndarray | None = None
 
 
 @dataclass
@@ -472,7 +476,7 @@ def fit(
     apart = (_unit_rows(vectors) @ centroids.T).max(1) < APART
     lost = ((captured < CAPTURED) | apart) & (support >= TERM_DOCUMENTS - 1e-6) & (g >= FOLD_UNEVENNESS)
     vectors[lost] = (_unit_rows(folded) * (weight * length / max(sigma[:n_classes].mean(), 1e-12))[:, None])[lost]
-    return Model(subjects, terms, vectors.astype(np.float32), _unit_rows(centroids).astype(np.float32))
+    return Model(subjects, terms, vectors.astype(np.float32), _unit_rows(centroids).astype(np.float32), g.astype(np.float32))
 
 
 def _seed_sums(held: DataFrame, seeds: Seeds, vectors: np.ndarray) -> np.ndarray:
@@ -526,6 +530,8 @@ def unit_subjects(flat: np.ndarray, lengths: np.ndarray, model: Model):
     top = cosine.max(1)
     second = np.partition(cosine, -2, axis=1)[:, -2] if cosine.shape[1] > 1 else np.zeros(len(top))
     ok = (top >= UNIT_COSINE) & (top >= AHEAD * second) & (best < len(model.subjects))
+    if model.unevenness is not None:
+        ok &= np.bincount(unit[there], weights=model.unevenness[flat[there]], minlength=n_units) >= SPEAKS
     return doc_of_unit[ok], best[ok]
 
 
@@ -650,7 +656,7 @@ def _refined(features: DataFrame, model: Model, vectors: Broadcast) -> Model:
     bare = Model(model.subjects, np.empty(0, np.int64), np.empty(0), model.centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = replace(bare, vectors=vectors.value)
+        m = replace(bare, vectors=vectors.value[0], unevenness=vectors.value[1])
         sums = np.zeros(m.centroids.shape)
         for batch in batches:
             points = document_vectors(*_arrays(batch.column(0)), m)
@@ -662,7 +668,7 @@ def _refined(features: DataFrame, model: Model, vectors: Broadcast) -> Model:
 
     sums = _summed(features.select("terms").mapInArrow(run, "s int, d int, x double"), model.centroids.shape)
     moved = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, model.centroids)
-    return Model(model.subjects, model.terms, model.vectors, _unit_rows(moved).astype(np.float32))
+    return replace(model, centroids=_unit_rows(moved).astype(np.float32))
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame, Broadcast]:
@@ -677,7 +683,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Mo
     features = staged(_positions_of(tokens, terms), "subjects")
     dropped(tokens)
     model = fit(features, seeds, terms, g, lean, frequency, n_docs, names, descriptions)
-    vectors = docs.sparkSession.sparkContext.broadcast(model.vectors)
+    vectors = docs.sparkSession.sparkContext.broadcast((model.vectors, model.unevenness))
     for _ in range(CORPUS_ROUNDS if names else 0):
         model = _refined(features, model, vectors)
     return model, features, vectors
@@ -695,7 +701,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) ->
     bare = Model(model.subjects, np.empty(0, np.int64), np.empty(0), model.centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = replace(bare, vectors=vectors.value)
+        m = replace(bare, vectors=vectors.value[0], unevenness=vectors.value[1])
         names = np.array([*m.subjects, NONE], dtype=object)
         for batch in batches:
             found = document_subjects(*_arrays(batch.column(1)), m)
