@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -154,12 +155,20 @@ class Text:
     def __init__(self, words: list[str], templates: Templates, window: int):
         self.words, self.templates, self.window = words, templates, window
         self.numbers = templates.numbers(words)
-        placeholder = (self.numbers == _NUMBER) | (self.numbers == _NAME)
-        self.filled = placeholder | (self.numbers == _UNIT)
 
-        again = np.zeros(len(words), bool)
-        again[1:] = placeholder[1:] & (self.numbers[1:] == self.numbers[:-1])
-        self.starts = np.flatnonzero(~again)
+    @cached_property
+    def filled(self) -> np.ndarray:
+        """Whether each token is a placeholder."""
+        n = self.numbers
+        return (n == _NUMBER) | (n == _NAME) | (n == _UNIT)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where the drawn-together tokens begin: not at a number behind a number, nor at a name behind a name."""
+        n = self.numbers
+        again = np.zeros(len(n), bool)
+        again[1:] = (n[1:] == n[:-1]) & ((n[1:] == _NUMBER) | (n[1:] == _NAME))
+        return np.flatnonzero(~again)
 
     def _telling(self, filled: np.ndarray) -> np.ndarray:
         """Whether each window has words enough that are no placeholders."""
